@@ -1,0 +1,44 @@
+"""Connected components of a link table that no single task could hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridweave.session import discard, stored
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+    """(node, component): every node of ``links``, with the least node of its component.
+
+    Large-star and small-star rounds in turn: every node hands its larger
+    neighbours, then all others, to its least neighbour. The links shrink to one
+    star per component in a number of rounds that grows with the logarithm of the
+    component's diameter. A round is two aggregations and two joins on the node;
+    its links are written to the shared folder, which cuts the lineage. Only one
+    flag per round reaches the driver.
+    """
+    pairs = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u"))
+    loops = pairs.where("u = v").select("u")
+    edges = stored(pairs.where("u < v").distinct())
+    for _ in range(most_rounds):
+        # large star: to each node's larger neighbours
+        both = edges.select(F.col("v").alias("n"), F.col("u").alias("m")).unionByName(edges.select(F.col("u").alias("n"), F.col("v").alias("m")))
+        least = both.groupBy("n").agg(F.min("m").alias("low")).withColumn("low", F.least("low", "n"))
+        large = edges.join(least.select(F.col("n").alias("u"), "low"), "u").select("v", F.col("low").alias("u")).distinct()
+        # small star: each node and its smaller neighbours, to the least of those
+        low = large.groupBy("v").agg(F.min("u").alias("low"))
+        small = large.join(low, "v").select(F.when(F.col("u") == F.col("low"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("low").alias("u")).where("u < v").distinct()
+        after = stored(small)
+        # done when every larger end has one link and no smaller end is itself a larger end
+        doubled = after.groupBy("v").count().where("count > 1").limit(1)
+        chained = after.select("v").join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1)
+        done = doubled.select("v").unionByName(chained.select("v")).limit(1).count() == 0
+        discard(edges)
+        edges = after
+        if done:
+            break
+    roots = edges.select(F.col("u").alias("node"), F.col("u").alias("component"))
+    found = edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots.distinct())
+    alone = loops.distinct().join(found.select(F.col("node").alias("u")), "u", "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    return found.unionByName(alone)
