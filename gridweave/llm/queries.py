@@ -66,7 +66,7 @@ per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY sour
 named AS (SELECT *, 2.0::DOUBLE * source_size AS lim, (CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w FROM per),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY lim / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM named),
-aims AS (SELECT source, source_size, least(lim, coalesce((min(lev) FILTER (lev * w <= lim) OVER ()) * w, lim)) AS target FROM levels),
+aims AS (SELECT source, source_size, least(lim, coalesce((max(lev) FILTER (lev * w <= lim) OVER ()) * w, lim)) AS target FROM levels),
 rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
     FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source)
 SELECT doc_id, size, source_size, target,

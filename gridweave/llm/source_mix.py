@@ -41,8 +41,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         .withColumn("held", F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
         .withColumn("level", (F.col("budget") - F.col("held")) / F.sum("weight").over(ahead))
     )
-    # the least level that leaves a source short of its limit is the water level
-    short = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(everything)
+    # levels rise up to the first source that they leave short of its limit and fall after it: that one is the water level
+    short = F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(everything)
     return levels.withColumn("water", short).select(
         "source",
         "source_size",
