@@ -184,12 +184,12 @@ def composed(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def without_dead_ends(buses: DataFrame, lines: DataFrame, occupied: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Buses and lines after up to ``rounds`` rounds of dropping buses of degree 0 or 1 that carry nothing.
+    """Buses and lines after up to ``rounds`` rounds of dropping buses with at most one neighbour that carry nothing.
 
     Each round is written to the shared folder; one flag per round reaches the driver.
     """
     for _ in range(rounds):
-        degree = connectivity_degree(lines).select(F.col("bus").alias("_b"), "degree")
+        degree = topological_degree(lines).select(F.col("bus").alias("_b"), "degree")
         bare = buses.select("bus_id").join(occupied.select(F.col("bus_id").alias("_o")), F.col("bus_id") == F.col("_o"), "left_anti")
         drop = stored(bare.join(degree, F.col("bus_id") == F.col("_b"), "left").where("coalesce(degree, 0) <= 1").select(F.col("bus_id").alias("_d")))
         if drop.limit(1).count() == 0:

@@ -211,22 +211,24 @@ def redispatch(units: DataFrame, binding: DataFrame, factors: DataFrame, slack_c
     factors: (line_id, bus, factor). Monitored rows may also be outages: give their
     combined factors under a line_id of their own.
     """
-    wanted = binding.join(factors, "line_id").groupBy("snapshot", "bus").agg(F.map_from_entries(F.collect_list(F.struct("row", "factor"))).alias("_f"))
-    with_factors = units.join(wanted, ["snapshot", "bus"], "left")
+    wanted = binding.join(factors, "line_id").groupBy("snapshot", "bus").agg(F.sort_array(F.collect_list(F.struct("row", "factor"))).alias("_s"))
+    with_factors = units.join(wanted, ["snapshot", "bus"], "left").select(*(F.col(c).alias(c) for c in units.columns), F.col("_s.row").alias("_r"), F.col("_s.factor").alias("_f"))
+    own = binding.select(*(F.col(c).alias(c) for c in ("snapshot", "row", "mw", "s_nom")))  # both sides may come from one table
 
     def one(key, u: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"snapshot": [], "bus": [], "carrier": [], "delta": [], "cost": [], "gap": []})
         if u.empty or b.empty:
-            return empty
+            none = pd.Series(dtype="float64")
+            return pd.DataFrame({"snapshot": pd.Series(dtype="int64"), "bus": pd.Series(dtype="int64"), "carrier": pd.Series(dtype="object"), "delta": none, "cost": none, "gap": none})
         u, b = u.sort_values(["bus", "carrier"]).reset_index(drop=True), b.sort_values("row")
         ids = b["row"].tolist()
-        rows = np.array([[dict(f).get(r, 0.0) if f is not None else 0.0 for f in u["_f"]] for r in ids], dtype=float)
+        known = [dict(zip(r, f)) if r is not None else {} for r, f in zip(u["_r"], u["_f"])]
+        rows = np.array([[k.get(r, 0.0) for k in known] for r in ids], dtype=float)
         x, total, gap, _ = solve_lp(*redispatch_problem(u, rows, b["mw"].to_numpy(dtype=float), b["s_nom"].to_numpy(dtype=float), slack_cost))
         delta = x[: len(u)] - x[len(u) : 2 * len(u)]
-        return pd.DataFrame({"snapshot": key[0], "bus": u["bus"], "carrier": u["carrier"], "delta": delta, "cost": total, "gap": gap})
+        return pd.DataFrame({"snapshot": key[0], "bus": u["bus"].to_numpy(), "carrier": u["carrier"].to_numpy(dtype=object), "delta": delta, "cost": total, "gap": gap})
 
     kinds = dict(units.dtypes)
-    return with_factors.groupBy("snapshot").cogroup(binding.groupBy("snapshot")).applyInPandas(one, f"snapshot {kinds['snapshot']}, bus {kinds['bus']}, carrier string, delta double, cost double, gap double")
+    return with_factors.groupBy("snapshot").cogroup(own.groupBy("snapshot")).applyInPandas(one, f"snapshot {kinds['snapshot']}, bus {kinds['bus']}, carrier string, delta double, cost double, gap double")
 
 
 def flows_after(flow: DataFrame, factors: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def nearest_in_time(grid: DataFrame, series: DataFrame, tolerance_s: int, keys:
     back = Window.partitionBy(*keys).orderBy("ts", "_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = Window.partitionBy(*keys).orderBy(F.desc("ts"), "_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_b", F.last(point, ignorenulls=True).over(back)).withColumn("_a", F.last(point, ignorenulls=True).over(ahead)).where("_g")
-    s = lambda c: F.unix_micros(c) / 1e6
+    s = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     db, da = s(F.col("ts")) - s(F.col("_b.t")), s(F.col("_a.t")) - s(F.col("ts"))
     use_b = db.isNotNull() & (db <= tolerance_s) & (da.isNull() | (db <= da))
     return found.select(*keys, "ts", F.when(use_b, F.col("_b.v")).when(da <= tolerance_s, F.col("_a.v")).alias("value"))
