@@ -71,12 +71,12 @@ def mix(docs: DataFrame, seed: int = 11, weights: tuple[float, ...] = WEIGHTS, s
     new = ("size", "source_size", "target", "copies")
     base = docs.drop(*new)
     sized = base.withColumn("size", word_count())
-    targets = source_targets(sized.select("source", "size"), weights, share, most).select(F.col("source").alias("_source"), "source_size", "target", "rate")
-    whole = F.floor("rate")
+    targets = source_targets(sized.select("source", "size"), weights, share, most).select(F.col("source").alias("_source"), "source_size", "target", F.col("rate").alias("_rate"))
+    whole = F.floor("_rate")
     return (
         sized.join(targets, sized["source"].eqNullSafe(targets["_source"]), "left")
-        .withColumn("copies", (whole + (chance(seed) < F.col("rate") - whole).cast("long")).cast("long"))
-        .drop("_source", "rate")
+        .withColumn("copies", (whole + (chance(seed) < F.col("_rate") - whole).cast("long")).cast("long"))
+        .drop("_source", "_rate")
     )
 
 
