@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def slices_by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int)
         if batch.num_rows == 0:
             continue
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
         part = np.cumsum(sizes) // limit
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for start, end in zip(starts, np.r_[starts[1:], batch.num_rows]):

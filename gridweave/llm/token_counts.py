@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
             texts = texts_of(batch)
             tokens = np.fromiter(map(encoder.count, texts), dtype=np.int64, count=len(texts))
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
