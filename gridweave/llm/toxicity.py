@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import Memo, fold, slices_by_bytes, texts_of
+from gridweave.session import discard, stored
 
 #: Feature buckets. A word and each of its stems (its first letters) fall into one bucket each.
 BUCKETS, STEMS, LEVELS = 1 << 22, (3, 4, 5, 6), (2, 3, 5, 8)
@@ -82,31 +83,40 @@ class _Sparse:
         return owner, self.columns[first + np.arange(len(owner))]
 
 
-def fit(positive, unlabelled, prior: float, epochs: int = 30, batch: int = 1000, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a linear model, by Adam on the non-negative PU risk with logistic loss.
+def evidence(n_p, n_u, total_p, total_u):
+    """The log-likelihood ratio of a feature seen in n_p of total_p positive and n_u of total_u unlabelled documents; 0 if it speaks against."""
+    n_p, n_u = np.asarray(n_p, dtype=np.float64), np.asarray(n_u, dtype=np.float64)
+    expected = (n_p + n_u) * (total_p / (total_p + total_u))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(n_p > 0, n_p * np.log(n_p / expected), 0) + np.where(n_u > 0, n_u * np.log(n_u / (n_p + n_u - expected)), 0))
+    return np.where((n_p >= 2) & (n_p > expected), ratio, 0.0)
+
+
+def fit(positive, unlabelled, prior: float, epochs: int = 30, batch: int = 1000, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """(buckets, weights, bias) of a linear model, by Adam on the non-negative PU risk with logistic loss.
 
-    positive, unlabelled: lists of feature arrays; documents with equal features count
-    once. Features that do not set positive documents apart keep weight 0.
+    positive, unlabelled: lists of feature arrays. Features that do not set positive
+    documents apart take no part.
     """
-    positive, unlabelled = ([np.frombuffer(b, dtype=np.int32) for b in sorted({np.asarray(r, dtype=np.int32).tobytes() for r in rows})] for rows in (positive, unlabelled))
     rng = np.random.RandomState(seed)
-    weights, bias = np.zeros(BUCKETS), math.log(prior / (1 - prior))
+    bias = math.log(prior / (1 - prior))
     if not len(positive) or not len(unlabelled):
-        return weights, bias
+        return np.zeros(0, dtype=np.int64), np.zeros(0), bias
     p, u = _Sparse(positive), _Sparse(unlabelled)
-    seen_p, seen_u = np.bincount(p.columns, minlength=BUCKETS), np.bincount(u.columns, minlength=BUCKETS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        expected = (seen_p + seen_u) * (len(p) / (len(p) + len(u)))
-        ratio = 2 * (np.where(seen_p > 0, seen_p * np.log(seen_p / expected), 0) + np.where(seen_u > 0, seen_u * np.log(seen_u / (seen_p + seen_u - expected)), 0))
-    usable = (seen_p >= 2) & (seen_p > expected) & (ratio >= EVIDENCE)
-    slot = np.full(BUCKETS, -1, dtype=np.int64)
-    slot[usable] = np.arange(usable.sum())
-    n = int(usable.sum())
+    seen = np.unique(p.columns)
+    counts = []
+    for rows in (p, u):
+        at = np.searchsorted(seen, rows.columns)
+        known = seen[np.minimum(at, len(seen) - 1)] == rows.columns if len(seen) else np.zeros(len(at), dtype=bool)
+        counts.append(np.bincount(at[known], minlength=len(seen)))
+    chosen = seen[evidence(*counts, len(p), len(u)) >= EVIDENCE]
+    n = len(chosen)
     theta, m, v, step = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0
     theta[n] = bias
 
     def packed(rows: _Sparse):
-        kept = slot[rows.columns]
+        kept = np.searchsorted(chosen, rows.columns)
+        kept = np.where(chosen[np.minimum(kept, n - 1)] == rows.columns, kept, -1) if n else np.full(len(rows.columns), -1)
         owner = np.repeat(np.arange(len(rows)), rows.sizes)[kept >= 0]
         out = _Sparse([])
         out.sizes = np.bincount(owner, minlength=len(rows))
@@ -136,8 +146,7 @@ def fit(positive, unlabelled, prior: float, epochs: int = 30, batch: int = 1000,
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weights[usable] = theta[:n]
-    return weights, float(theta[n])
+    return chosen, theta[:n], float(theta[n])
 
 
 def _sample(rows: DataFrame, most: int, salt: int) -> DataFrame:
@@ -148,31 +157,70 @@ def _sample(rows: DataFrame, most: int, salt: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * most / n))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, float]:
+def _telling(sample: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Buckets of a sample (positive boolean, features) with enough evidence, and the numbers of documents of both kinds.
+
+    Tasks count what they read; only buckets that pass reach the driver.
+    """
+
+    def work(batches):
+        held = {True: [], False: []}
+        for batch in batches:
+            lists, flags = batch.column(1), np.asarray(batch.column(0).to_pylist(), dtype=bool)
+            owner = np.repeat(flags, np.diff(np.asarray(lists.offsets)))
+            flat = lists.flatten().to_numpy()
+            for kind in held:
+                held[kind].append(flat[owner == kind])
+        p, u = (np.concatenate(held[k]) if held[k] else np.zeros(0, np.int32) for k in (True, False))
+        buckets, back = np.unique(np.concatenate([p, u]), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.bincount(back[: len(p)], minlength=len(buckets))), pa.array(np.bincount(back[len(p) :], minlength=len(buckets)))], names=["bucket", "p", "u"])
+
+    total_p, total_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    counts = sample.select("positive", "features").mapInArrow(work, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    share = total_p / max(1, total_p + total_u)
+    expected = (F.col("p") + F.col("u")) * share
+    term = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
+    ratio = 2 * (term(F.col("p"), expected) + term(F.col("u"), F.col("p") + F.col("u") - expected))
+    chosen = counts.where((F.col("p") >= 2) & (F.col("p") > expected) & (ratio >= EVIDENCE * 0.999)).select("bucket").toPandas()["bucket"]
+    return np.sort(chosen.to_numpy(dtype=np.int32)), total_p, total_u
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on confirmed toxic documents outside the held-out fold and on unlabelled text.
 
     The prior is the share of toxic ones among the learnable labels. The sample is
-    bounded by ``most_positive`` and ``most_unlabelled`` documents, chosen by a hash
-    of doc_id; only their feature buckets reach the driver.
+    bounded by about ``most_positive`` and ``most_unlabelled`` documents, chosen by a hash
+    of doc_id; documents with equal features count once. Only features with enough
+    evidence, and of each document those that it has of them, reach the driver.
     """
     learn = labels.where((fold("doc_id", folds) != held_out) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, toxic = learn.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
     prior = min(0.9, max(0.001, toxic / total if total else 0.001))
     wanted = _sample(learn.where("toxic = 1").select("doc_id"), most_positive, 1)
     source = docs.select("doc_id", "text")
-    positive = features(source.join(wanted, "doc_id", "left_semi")).select("features").toPandas()["features"]
-    unlabelled = features(_sample(source, most_unlabelled, 2)).select("features").toPandas()["features"]
-    return fit(positive.tolist(), unlabelled.tolist(), prior)
+    both = source.join(wanted, "doc_id", "left_semi").withColumn("positive", F.lit(True)).unionByName(_sample(source, most_unlabelled, 2).withColumn("positive", F.lit(False)))
+    sample = stored(features(both.select("positive", "text")).withColumn("_h", F.xxhash64("features")).dropDuplicates(["positive", "_h"]).select("positive", "features"))
+    chosen, _, _ = _telling(sample)
+
+    def restrict(batches):
+        for batch in batches:
+            lists = batch.column(1).to_pylist()
+            rows = [np.intersect1d(np.asarray(r, dtype=np.int32), chosen, assume_unique=True) for r in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "features"])
+
+    found = sample.mapInArrow(restrict, "positive boolean, features array<int>").toPandas()
+    discard(sample)
+    rows, flags = found["features"].tolist(), found["positive"].to_numpy(dtype=bool)
+    return fit([r for r, f in zip(rows, flags) if f], [r for r, f in zip(rows, flags) if not f], prior)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2) -> DataFrame:
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text; one narrow pass.
 
     A null or empty text has the score of a text without known words. Null ids and
     repeated rows are kept, an empty table gives an empty result.
     """
-    weights, bias = model
-    shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(weights).astype(np.int32), weights[weights != 0].astype(np.float64), bias))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         at, values, bias = shared.value
