@@ -14,7 +14,7 @@ def _guard(ok: Column, value: Column, message: str) -> Column:
 
 def parallel_impedance(z: str) -> Column:
     """1 / sum(1 / z) over a group; an error if the group is empty or any value is not positive."""
-    return _guard((F.count(z) > 0) & (F.min(z) > 0), 1 / F.sum(1 / F.col(z)), f"parallel impedance needs positive {z}")
+    return _guard((F.count(z) > 0) & (F.min(z) > 0), F.try_divide(F.lit(1.0), F.sum(F.try_divide(F.lit(1.0), F.col(z)))), f"parallel impedance needs positive {z}")
 
 
 def series_impedance(z: str) -> Column:

@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from gridweave.plans import queries_graph, queries_market, queries_relational, queries_series  # noqa: F401
+    from gridweave.plans import queries_checks, queries_graph, queries_market, queries_relational, queries_series  # noqa: F401
