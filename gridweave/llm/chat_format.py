@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.common import released
 from gridweave.session import stored
 
 ROLES = ("system", "user", "assistant")
@@ -169,7 +170,7 @@ def train(conversations: DataFrame) -> Hmm:
 
     named = conversations.where(F.lower("role").isin(*ROLES)).select(F.lower("role").alias("role"), "text")
     counts = np.zeros((len(ROLES), _KINDS))
-    for r in named.mapInArrow(work, "role long, kind long, n long").groupBy("role", "kind").agg(F.sum("n").alias("n")).collect():
+    for r in named.mapInArrow(released(work), "role long, kind long, n long").groupBy("role", "kind").agg(F.sum("n").alias("n")).collect():
         counts[r["role"], r["kind"]] = r["n"]
     return Hmm(counts if counts.sum() else None)
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridweave.llm.common import released
+
 #: The walk's random bits repeat after so many steps, and characters fall into so many classes.
 PERIOD, CLASSES = 4096, 256
 #: Samples of a fingerprint: half of them from the last octave of the walk's time, a quarter from the one before...
@@ -147,7 +149,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType
     schema = pa.schema([("id", pa.int64() if isinstance(kind, T.LongType) else pa.string()), ("fingerprint", pa.string()), ("bands", pa.list_(pa.string()))])
-    return source.mapInArrow(fingers, f"id {kind.simpleString()}, fingerprint string, bands array<string>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(released(fingers), f"id {kind.simpleString()}, fingerprint string, bands array<string>").withColumnRenamed("id", id_col)
 
 
 def _by_chars(rows):
@@ -241,4 +243,4 @@ def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFr
                     yield ready(held)
                     held, chars = held[-1:], len(text)
 
-    return _in_order(source, spread).mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _in_order(source, spread).mapInArrow(released(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Memo, slices_by_bytes, texts_of
+from gridweave.llm.common import Memo, released, slices_by_bytes, texts_of
 from gridweave.operators.components import connected_components
 from gridweave.session import discard, stored
 
@@ -85,14 +85,14 @@ def sketch_table(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """doc_id, node (hash of the set of shingles), size, sketch array<int>; one narrow pass over the texts."""
 
     def work(batches):
-        memo = Memo(word_hash, 200_000)
+        memo = Memo(word_hash, 120_000)
         for batch in slices_by_bytes(batches, "text", 4 << 20):
             sets = [shingles(t, memo, width) for t in texts_of(batch)]
             nodes = list(map(set_key, sets))
             values = pa.FixedSizeListArray.from_arrays(pa.array(sketches(sets).view(np.int32).ravel()), SKETCH).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), values], names=["doc_id", "node", "size", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, node long, size long, sketch array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(work), "doc_id long, node long, size long, sketch array<int>")
 
 
 def _runs_of_keys(batches, keys: list[int], limit: int | None = None):
@@ -180,7 +180,7 @@ def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD, recall: floa
         sized = stored(rows.join(counts, "path").select("path", "node", "n"))
         kept.append(sized)
         few = sized.where(F.col("n") <= small).select("path", "node").join(live, "node").select("path", "node", "size", "sketch")
-        links = few.repartition("path").sortWithinPartitions("path", "node").mapInArrow(_candidates(threshold), "a long, b long")
+        links = few.repartition("path").sortWithinPartitions("path", "node").mapInArrow(released(_candidates(threshold)), "a long, b long")
         found = links if found is None else found.unionByName(links)
         many = sized.where(F.col("n") > small)
         if many.limit(1).count() == 0:
@@ -210,13 +210,13 @@ def _sets_of(docs: DataFrame, width: int) -> DataFrame:
     """
 
     def work(batches):
-        memo = Memo(word_hash, 200_000)
+        memo = Memo(word_hash, 120_000)
         for batch in slices_by_bytes(batches, "text", 4 << 20):
             sets = [shingles(t, memo, width) for t in texts_of(batch)]
             right = pa.array([set_key(s) == n for s, n in zip(sets, batch.column(1).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "copies", "blocks", "shingles"]).filter(right)
 
-    return docs.select("cluster", "node", "copies", "blocks", "text").mapInArrow(work, "cluster long, node long, copies long, blocks int, shingles binary")
+    return docs.select("cluster", "node", "copies", "blocks", "text").mapInArrow(released(work), "cluster long, node long, copies long, blocks int, shingles binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -291,7 +291,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, nodes: DataFrame, threshol
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("side"), "node", "copies", "shingles")
-    return keyed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_exact(threshold), "node long, root long, links long")
+    return keyed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(released(_exact(threshold)), "node long, root long, links long")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import fold, slices_by_bytes, texts_of
+from gridweave.llm.common import fold, released, slices_by_bytes, texts_of
 
 ORDER = 4
 #: The model keeps at most so many n-grams of each order (the most frequent) and so many languages.
@@ -117,7 +117,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 yield from flushed()
         yield from flushed()
 
-    found = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(work, "lang string, order int, gram long, context long, suffix long, start boolean, n long")
+    found = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(released(work), "lang string, order int, gram long, context long, suffix long, start boolean, n long")
     return found.groupBy("lang", "order", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("start").alias("start"), F.sum("n").alias("n"))
 
 
@@ -290,7 +290,7 @@ def scored(docs: DataFrame, model: Model | None, folds: int = 3, held_out: int =
 
     source = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"doc_id {kind}, held_out boolean, lang_pred string, score double, entropy double")
+    return source.mapInArrow(released(work), f"doc_id {kind}, held_out boolean, lang_pred string, score double, entropy double")
 
 
 def with_rejection(found: DataFrame, factor: float = 6.0) -> DataFrame:

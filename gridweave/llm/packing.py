@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import slices_by_bytes, texts_of
+from gridweave.llm.common import released, slices_by_bytes, texts_of
 from gridweave.llm.tokenizer import byte_level
 from gridweave.session import stored
 
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         if held:
             yield packed()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(work), _PIECE)
 
 
 def _merge(bins: DataFrame, capacity: int) -> DataFrame:
@@ -113,7 +113,7 @@ def _merge(bins: DataFrame, capacity: int) -> DataFrame:
             total = np.bincount(into, fills).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, fills, first[into], shift, total[into])], names=["bin", "fill", "into", "shift", "total"])
 
-    return bins.select("bin", "fill", "part").repartition("part").mapInArrow(work, "bin long, fill long, into long, shift long, total long")
+    return bins.select("bin", "fill", "part").repartition("part").mapInArrow(released(work), "bin long, fill long, into long, shift long, total long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds: int = 4, gain: float = 0.001) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import fold, slices_by_bytes, texts_of
+from gridweave.llm.common import fold, released, slices_by_bytes, texts_of
 from gridweave.session import stored
 
 #: The sample that a model is fitted on holds about so many labelled documents at most; pairs are drawn from it.
@@ -72,7 +72,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "features"])
 
     source = docs.select("doc_id", "text")
-    return source.mapInArrow(work, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, features array<float>")
+    return source.mapInArrow(released(work), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, features array<float>")
 
 
 class Ranker:
@@ -158,7 +158,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranker.score(values), pa.float64())], names=["doc_id", "raw"])
 
     kind = described.schema["doc_id"].dataType.simpleString()
-    raw = stored(described.mapInArrow(work, f"doc_id {kind}, raw double"))
+    raw = stored(described.mapInArrow(released(work), f"doc_id {kind}, raw double"))
     share = good / total if total else 0.5
     spread = raw.agg(F.percentile_approx("raw", F.array(F.lit(1 - share), F.lit(0.05), F.lit(0.95)), 10_000).alias("q")).first()["q"]
     at, low, high = spread if spread else (0.0, 0.0, 1.0)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import slices_by_bytes, texts_of
+from gridweave.llm.common import released, slices_by_bytes, texts_of
 from gridweave.llm.tokenizer import word_bpe
 
 #: Bytes of text in one batch of the encoder, whatever the number of rows.
@@ -36,4 +36,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return source.mapInArrow(released(count), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -54,7 +54,7 @@ def parts(text: str, boundary: re.Pattern, limit: int = PART) -> Iterator[str]:
 class ByteLevelBpe:
     """Ids of a byte-level BPE with the usual splitting rule (a leading space belongs to the next word)."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -63,19 +63,24 @@ class ByteLevelBpe:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = Memo(self._after_space, memo)
-        self.runs = Memo(self._run, 2 * memo)
+        self.runs = Memo(self._run, memo // 3)
 
     def _exact(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
         """One piece of the splitting rule: the merges alone decide."""
-        return array("I", [t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, run.encode())))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.symbols))]).tobytes()
 
     def _after_space(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self._run(" " + piece)
         if _SIMPLE.fullmatch(piece):
             first, *rest = _RUN.findall(piece)
-            return b"".join(map(self.runs.__getitem__, (" " + first, *rest)))
+            if not rest:
+                return self._run(" " + first)
+            # the first run with the space before it is a piece of its own
+            return b"".join((self.pieces[first], *map(self.runs.__getitem__, rest)))
         return self._exact(" " + piece)
 
     def _segment(self, text: str) -> bytes:
@@ -100,19 +105,21 @@ class ByteLevelBpe:
 class WordBpe:
     """Token counts of a BPE with word ends that lower-cases and drops white space."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.symbols = byte_symbols()
         self.pieces = Memo(self._count, memo)
-        self.runs = Memo(self._run, 2 * memo)
+        self.runs = Memo(self._run, memo)
 
     def _run(self, run: str) -> int:
-        return len(self.model.tokenize("".join(map(self.symbols.__getitem__, run.encode()))))
+        return len(self.model.tokenize(run.encode().decode("latin-1").translate(self.symbols)))
 
     def _count(self, piece: str) -> int:
+        if piece.isascii() and piece.isalpha():
+            return self.runs[piece.lower()]
         if _SIMPLE.fullmatch(piece):
             return sum(map(self.runs.__getitem__, _RUN_OR_DIGIT.findall(piece.lower())))
         return len(self.library.encode(piece, add_special_tokens=False))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Memo, fold, slices_by_bytes, texts_of
+from gridweave.llm.common import Memo, fold, released, slices_by_bytes, texts_of
 from gridweave.session import discard, stored
 
 #: Feature buckets. A word and each of its stems (its first letters) fall into one bucket each.
@@ -62,7 +62,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), pa.array(rows, pa.list_(pa.int32()))], names=[*(f.name for f in keep), "features"])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "features array<int>"])
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(released(work), schema)
 
 
 class _Sparse:
@@ -176,7 +176,7 @@ def _telling(sample: DataFrame) -> tuple[np.ndarray, int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.bincount(back[: len(p)], minlength=len(buckets))), pa.array(np.bincount(back[len(p) :], minlength=len(buckets)))], names=["bucket", "p", "u"])
 
     total_p, total_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
-    counts = sample.select("positive", "features").mapInArrow(work, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.select("positive", "features").mapInArrow(released(work), "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     share = total_p / max(1, total_p + total_u)
     expected = (F.col("p") + F.col("u")) * share
     term = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
             rows = [np.intersect1d(np.asarray(r, dtype=np.int32), chosen, assume_unique=True) for r in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "features"])
 
-    found = sample.mapInArrow(restrict, "positive boolean, features array<int>").toPandas()
+    found = sample.mapInArrow(released(restrict), "positive boolean, features array<int>").toPandas()
     discard(sample)
     rows, flags = found["features"].tolist(), found["positive"].to_numpy(dtype=bool)
     return fit([r for r, f in zip(rows, flags) if f], [r for r, f in zip(rows, flags) if not f], prior)
@@ -227,7 +227,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresho
         known = dict(zip(at.tolist(), values.tolist()))
         # a bucket matters if it has a weight itself or if one of its levels has
         telling = lambda b: b in known or any((b * 31 + level) % BUCKETS in known for level in LEVELS)
-        memo = Memo(lambda piece: tuple((r, found) for r in runs_of(piece) if (found := tuple(filter(telling, buckets_of(r))))), 200_000)
+        memo = Memo(lambda piece: tuple((r, found) for r in runs_of(piece) if (found := tuple(filter(telling, buckets_of(r))))), 100_000)
         for batch in slices_by_bytes(batches, "text", 4 << 20):
             out = []
             for text in texts_of(batch):
@@ -238,7 +238,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresho
 
     source = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return source.mapInArrow(released(work), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
