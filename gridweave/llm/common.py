@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from gridweave.session import ship
 
 
+#: Rows and bytes that cross between the JVM and a Python worker at once: texts are large, and both sides hold the batch.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data directory; sets the session's Arrow batches to BATCHES."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,8 +22,8 @@ from gridweave.llm.common import fold, released, slices_by_bytes, texts_of
 ORDER = 4
 #: The model keeps at most so many n-grams of each order (the most frequent) and so many languages.
 MOST_NGRAMS, MOST_LANGUAGES = 300_000, 64
-#: Words counted in a task before their n-grams are sent on.
-FLUSH_WORDS = 300_000
+#: Words counted in a task before their n-grams are sent on, and words whose n-grams are made at once.
+FLUSH_WORDS, AT_ONCE = 300_000, 40_000
 #: Longer words are read in their first so many letters when they are scored and counted... as separate words of that length.
 WORD = 64
 UNDETERMINED = "und"
@@ -83,6 +83,25 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     def work(batches):
         held: dict[str, Counter] = {}
 
+        def counted(lang, items):
+            owner, place, keep, hashes = ngrams([w for w, _ in items])
+            contexts = _contexts(hashes, place)
+            n = np.fromiter((c for _, c in items), dtype=np.int64, count=len(items))[owner]
+            for k in range(1, ORDER + 1):
+                usable = keep & (place >= k - 1)
+                grams, first, back = np.unique(hashes[k][usable], return_index=True, return_inverse=True)
+                suffix = hashes[k - 1][usable][first] if k > 1 else np.zeros(len(grams), dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(grams), pa.string()),
+                        pa.array(np.full(len(grams), k, dtype=np.int32)),
+                        *(pa.array(x.astype(np.int64)) for x in (grams, contexts[k][usable][first], suffix)),
+                        pa.array(place[usable][first] == k - 1),
+                        pa.array(np.bincount(back, n[usable]).astype(np.int64)),
+                    ],
+                    names=["lang", "order", "gram", "context", "suffix", "start", "n"],
+                )
+
         def flushed():
             for lang, pieces in held.items():
                 words: Counter = Counter()
@@ -91,23 +110,9 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                         words[w] += n
                 if not words:
                     continue
-                owner, place, keep, hashes = ngrams(list(words))
-                contexts = _contexts(hashes, place)
-                n = np.fromiter(words.values(), dtype=np.int64, count=len(words))[owner]
-                for k in range(1, ORDER + 1):
-                    usable = keep & (place >= k - 1)
-                    grams, first, back = np.unique(hashes[k][usable], return_index=True, return_inverse=True)
-                    suffix = hashes[k - 1][usable][first] if k > 1 else np.zeros(len(grams), dtype=np.uint64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(grams), pa.string()),
-                            pa.array(np.full(len(grams), k, dtype=np.int32)),
-                            *(pa.array(x.astype(np.int64)) for x in (grams, contexts[k][usable][first], suffix)),
-                            pa.array(place[usable][first] == k - 1),
-                            pa.array(np.bincount(back, n[usable]).astype(np.int64)),
-                        ],
-                        names=["lang", "order", "gram", "context", "suffix", "start", "n"],
-                    )
+                items = list(words.items())
+                for k in range(0, len(items), AT_ONCE):
+                    yield from counted(lang, items[k : k + AT_ONCE])
             held.clear()
 
         for batch in slices_by_bytes(batches, "text", 4 << 20):
@@ -249,8 +254,8 @@ class Scorer:
         if len(self.rows) > self.memo:
             self.rows, self.table = {}, self.table[:0]
         fresh = list({p for s in split for p in s if p not in self.rows})
-        if fresh:
-            self.pieces(fresh)
+        for k in range(0, len(fresh), AT_ONCE // 2):
+            self.pieces(fresh[k : k + AT_ONCE // 2])
         out = np.zeros((len(texts), self.table.shape[1]))
         for k, s in enumerate(split):
             if s:

@@ -56,7 +56,7 @@ def features(docs: DataFrame) -> DataFrame:
     keep = [f for f in docs.schema.fields if f.name != "text"]
 
     def work(batches):
-        runs, memo = Memo(runs_of, 100_000), Memo(buckets_of, 100_000)
+        runs, memo = Memo(runs_of, 40_000), Memo(buckets_of, 40_000)
         for batch in slices_by_bytes(batches, "text", 4 << 20):
             rows = [np.array(sorted(with_levels(b for r in {r for p in set(t.split()) for r in runs[p]} for b in memo[r])), dtype=np.int32) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), pa.array(rows, pa.list_(pa.int32()))], names=[*(f.name for f in keep), "features"])
