@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.operators.components import connected_components
 from gridweave.operators.relational import top_k_by
 
 #: Networks of more buses than this are not solved densely.
@@ -63,10 +64,41 @@ def factor_table(lines: DataFrame, buses: DataFrame, least: float = 1e-6) -> Dat
     return lines.sparkSession.createDataFrame(table.to_pandas())
 
 
-def flows(factors: DataFrame, injection: DataFrame) -> DataFrame:
-    """(snapshot, line_id, mw): injections, balanced over all buses of a snapshot, times factors."""
-    mean = injection.groupBy("snapshot").agg(F.avg("mw").alias("_mean"))
-    even = injection.join(mean, "snapshot").select("snapshot", "bus", (F.col("mw") - F.col("_mean")).alias("mw"))
+def islands(lines: DataFrame) -> DataFrame:
+    """(bus_id, island): every bus at a line, with the least bus of its connected part."""
+    return connected_components(lines, "bus0", "bus1").select(F.col("node").alias("bus_id"), F.col("component").alias("island"))
+
+
+def island_factors(lines: DataFrame, island_of: DataFrame, least: float = 1e-6) -> DataFrame:
+    """(island, line_id, bus, factor) of all lines (line_id, bus0, bus1, x, v_nom), each island solved in a task of its own.
+
+    island_of: (bus_id, island), see :func:`islands`. No island may have more than
+    MOST_BUSES buses, which is checked before any is solved; their number is free.
+    """
+    large = island_of.groupBy("island").count().where(F.col("count") > MOST_BUSES).limit(1).collect()
+    if large:
+        raise ValueError(f"island {large[0]['island']} has more than {MOST_BUSES} buses: reduce the network first")
+
+    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("line_id")
+        b = np.unique(part[["bus0", "bus1"]].to_numpy())
+        h, _ = transfer_factors(b, *(part[c].to_numpy() for c in ("bus0", "bus1", "x", "v_nom")))
+        rows, cols = np.nonzero(np.abs(h) > least)
+        return pd.DataFrame({"island": key[0], "line_id": part["line_id"].to_numpy()[rows], "bus": b[cols], "factor": h[rows, cols]})
+
+    kinds = dict(lines.dtypes) | dict(island_of.dtypes)
+    labelled = lines.select("line_id", "bus0", "bus1", "x", "v_nom").join(island_of.select(F.col("bus_id").alias("bus0"), "island"), "bus0")
+    return labelled.groupBy("island").applyInPandas(solve, f"island {kinds['island']}, line_id {kinds['line_id']}, bus {kinds['bus0']}, factor double")
+
+
+def flows(factors: DataFrame, injection: DataFrame, within: Iterable[str] = ("snapshot",)) -> DataFrame:
+    """(snapshot, line_id, mw): injections, balanced over all buses of a snapshot, times factors.
+
+    within: the columns of injection inside which it is balanced; ("snapshot", "island") for many islands.
+    """
+    within = list(within)
+    mean = injection.groupBy(*within).agg(F.avg("mw").alias("_mean"))
+    even = injection.join(mean, within).select("snapshot", "bus", (F.col("mw") - F.col("_mean")).alias("mw"))
     return even.join(factors, "bus").groupBy("snapshot", "line_id").agg(F.sum(F.col("factor") * F.col("mw")).alias("mw"))
 
 
@@ -95,10 +127,10 @@ def contingencies(flow: DataFrame, outage: DataFrame, lines: DataFrame, k: int =
     return top_k_by(rated, ["snapshot"], [F.desc("loading"), F.col("line_id"), F.col("outage")], k).select("snapshot", "rank", "line_id", "outage", "mw", "loading")
 
 
-def overloads(flow: DataFrame, lines: DataFrame, tolerance: float = 1.001, k: int = 40) -> DataFrame:
-    """The k most overloaded lines per snapshot."""
+def overloads(flow: DataFrame, lines: DataFrame, tolerance: float = 1.001, k: int = 40, within: Iterable[str] = ("snapshot",)) -> DataFrame:
+    """The k most overloaded lines per snapshot, or per group of the columns ``within`` of flow."""
     rated = flow.join(lines.select("line_id", "s_nom"), "line_id").withColumn("loading", F.abs("mw") / F.col("s_nom")).where(F.col("loading") > tolerance)
-    return top_k_by(rated, ["snapshot"], [F.desc("loading"), F.col("line_id")], k)
+    return top_k_by(rated, list(within), [F.desc("loading"), F.col("line_id")], k)
 
 
 def eligible_units(over: DataFrame, factors: DataFrame, units: DataFrame, least: float = 0.02, least_mw: float = 1.0, room: float = 1e-3) -> DataFrame:
@@ -203,32 +235,35 @@ def redispatch_problem(units: pd.DataFrame, rows: np.ndarray, base: np.ndarray,
     return cost, a_eq, np.zeros(1), a_ub, b_ub, np.zeros(len(cost)), high
 
 
-def redispatch(units: DataFrame, binding: DataFrame, factors: DataFrame, slack_cost: float = 500.0) -> DataFrame:
+def redispatch(units: DataFrame, binding: DataFrame, factors: DataFrame, slack_cost: float = 500.0, within: Iterable[str] = ("snapshot",)) -> DataFrame:
     """(snapshot, bus, carrier, delta, cost, gap): the redispatch of every snapshot, one small LP each.
 
     units: (snapshot, bus, carrier, up, down, price, weight), already grouped; binding:
     (snapshot, row, line_id, mw, s_nom) with at most a few dozen rows a snapshot;
     factors: (line_id, bus, factor). Monitored rows may also be outages: give their
-    combined factors under a line_id of their own.
+    combined factors under a line_id of their own. within: the columns of units and
+    binding that make up one LP, ("snapshot", "island") for many islands; all are returned.
     """
-    wanted = binding.join(factors, "line_id").groupBy("snapshot", "bus").agg(F.sort_array(F.collect_list(F.struct("row", "factor"))).alias("_s"))
-    with_factors = units.join(wanted, ["snapshot", "bus"], "left").select(*(F.col(c).alias(c) for c in units.columns), F.col("_s.row").alias("_r"), F.col("_s.factor").alias("_f"))
-    own = binding.select(*(F.col(c).alias(c) for c in ("snapshot", "row", "mw", "s_nom")))  # both sides may come from one table
+    within = list(within)
+    wanted = binding.join(factors.select("line_id", "bus", "factor"), "line_id").groupBy(*within, "bus").agg(F.sort_array(F.collect_list(F.struct("row", "factor"))).alias("_s"))
+    with_factors = units.join(wanted, [*within, "bus"], "left").select(*(F.col(c).alias(c) for c in units.columns), F.col("_s.row").alias("_r"), F.col("_s.factor").alias("_f"))
+    own = binding.select(*(F.col(c).alias(c) for c in (*within, "row", "mw", "s_nom")))  # both sides may come from one table
 
     def one(key, u: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if u.empty or b.empty:
             none = pd.Series(dtype="float64")
-            return pd.DataFrame({"snapshot": pd.Series(dtype="int64"), "bus": pd.Series(dtype="int64"), "carrier": pd.Series(dtype="object"), "delta": none, "cost": none, "gap": none})
+            keys = {c: (b if u.empty else u)[c].iloc[:0] for c in within}
+            return pd.DataFrame({**keys, "bus": pd.Series(dtype="int64"), "carrier": pd.Series(dtype="object"), "delta": none, "cost": none, "gap": none})
         u, b = u.sort_values(["bus", "carrier"]).reset_index(drop=True), b.sort_values("row")
         ids = b["row"].tolist()
         known = [dict(zip(r, f)) if r is not None else {} for r, f in zip(u["_r"], u["_f"])]
         rows = np.array([[k.get(r, 0.0) for k in known] for r in ids], dtype=float)
         x, total, gap, _ = solve_lp(*redispatch_problem(u, rows, b["mw"].to_numpy(dtype=float), b["s_nom"].to_numpy(dtype=float), slack_cost))
         delta = x[: len(u)] - x[len(u) : 2 * len(u)]
-        return pd.DataFrame({"snapshot": key[0], "bus": u["bus"].to_numpy(), "carrier": u["carrier"].to_numpy(dtype=object), "delta": delta, "cost": total, "gap": gap})
+        return pd.DataFrame({**dict(zip(within, key)), "bus": u["bus"].to_numpy(), "carrier": u["carrier"].to_numpy(dtype=object), "delta": delta, "cost": total, "gap": gap})
 
     kinds = dict(units.dtypes)
-    return with_factors.groupBy("snapshot").cogroup(own.groupBy("snapshot")).applyInPandas(one, f"snapshot {kinds['snapshot']}, bus {kinds['bus']}, carrier string, delta double, cost double, gap double")
+    return with_factors.groupBy(*within).cogroup(own.groupBy(*within)).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in within) + f", bus {kinds['bus']}, carrier string, delta double, cost double, gap double")
 
 
 def flows_after(flow: DataFrame, factors: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from gridweave.functions import scalars
 from gridweave.operators import allocation, market, network
 from gridweave.operators import relational as rel
 from gridweave.plans.registry import query
+from gridweave.session import stored
 
 
 def r6(c):
@@ -164,15 +165,48 @@ def outage_distribution(t):
     return out.where(F.abs("factor") > 1e-6).withColumn("factor", r6("factor"))
 
 
+def _network(t):
+    """All stretches: lines, (bus_id, island), and the transfer factors of every island."""
+    lines = t.stretch.withColumn("v_nom", F.lit(110.0))
+    island_of = stored(network.islands(lines))
+    return lines, island_of, stored(network.island_factors(lines, island_of))
+
+
+def _put_in(t, island_of, mw):
+    """(snapshot, island, bus, mw): four snapshots of every bus."""
+    snapshots = t.spark.range(1, 5).select(F.col("id").alias("snapshot"))
+    return island_of.crossJoin(F.broadcast(snapshots)).select("snapshot", "island", F.col("bus_id").alias("bus"), mw.cast("double").alias("mw"))
+
+
+_ISLANDS = ("snapshot", "island")
+
+
+# the two queries above have SQL for the first island; these do the same on all of them
+@query("""WITH ends AS (SELECT bus0 AS bus FROM stretch UNION SELECT bus1 FROM stretch), inj AS (SELECT CAST(s AS BIGINT) AS snapshot, bus, bus // 6 AS island, (bus * s - 7)::DOUBLE AS mw FROM range(1, 5) t(s), ends), bal AS (SELECT snapshot, bus, island, mw - avg(mw) OVER (PARTITION BY snapshot, island) AS mw FROM inj),
+    cum AS (SELECT snapshot, bus, sum(mw) OVER (PARTITION BY snapshot, island ORDER BY bus) AS mw FROM bal), seg AS (SELECT bus0, sum(1 / x) AS y FROM stretch GROUP BY bus0)
+    SELECT snapshot, line_id, round(cum.mw * (1 / l.x) / seg.y, 6) AS mw FROM stretch l JOIN cum ON cum.bus = l.bus0 JOIN seg ON seg.bus0 = l.bus0""")
+def dc_flows_all_islands(t):
+    _, island_of, factors = _network(t)
+    inj = _put_in(t, island_of, F.col("bus_id") * F.col("snapshot") - 7)
+    return network.flows(factors, inj, _ISLANDS).withColumn("mw", r6("mw"))
+
+
+@query("""SELECT a.line_id, b.line_id AS outage, round(1.0::DOUBLE, 6) AS factor FROM stretch a JOIN stretch b ON a.bus0 = b.bus0 AND a.line_id <> b.line_id""")
+def outage_distribution_all_islands(t):
+    lines, _, factors = _network(t)
+    return network.outage_factors(factors, lines).where(F.abs("factor") > 1e-6).withColumn("factor", r6("factor"))
+
+
 @query()
 def redispatch_lp(t):
-    lines, buses = _island(t)
-    factors = network.factor_table(lines, buses)
-    inj = t.spark.range(1, 5).select(F.col("id").alias("snapshot")).crossJoin(F.broadcast(buses)).select("snapshot", F.col("bus_id").alias("bus"), (F.col("bus_id") * F.col("snapshot") * 20 - 50).cast("double").alias("mw"))
-    over = network.overloads(network.flows(factors, inj), lines)
-    binding = over.select("snapshot", F.col("rank").alias("row"), "line_id", "mw", "s_nom")
-    units = inj.select("snapshot", "bus", F.lit("coal").alias("carrier"), F.lit(300.0).alias("up"), F.lit(300.0).alias("down"), (F.col("bus") * 5 + 40).cast("double").alias("price"), F.lit(1.0).alias("weight"))
-    return network.redispatch(units, binding, factors).select("snapshot", "bus", "carrier", F.round("delta", 3).alias("delta"))
+    lines, island_of, factors = _network(t)
+    inj = _put_in(t, island_of, F.col("bus_id") * F.col("snapshot") * 20 - 50)
+    flow = network.flows(factors, inj, _ISLANDS).join(factors.select("line_id", "island").distinct(), "line_id")
+    over = network.overloads(flow, lines, within=_ISLANDS)
+    binding = over.select(*_ISLANDS, F.col("rank").alias("row"), "line_id", "mw", "s_nom")
+    # prices rise from each island's first bus: counted from bus 0 they would soon pass the cost of an overload
+    units = inj.select(*_ISLANDS, "bus", F.lit("coal").alias("carrier"), F.lit(300.0).alias("up"), F.lit(300.0).alias("down"), ((F.col("bus") - F.col("island")) * 5 + 40).cast("double").alias("price"), F.lit(1.0).alias("weight"))
+    return network.redispatch(units, binding, factors, within=_ISLANDS).select("snapshot", "bus", "carrier", F.round("delta", 3).alias("delta"))
 
 
 @query("SELECT line_id, round((CASE WHEN v_nom >= 380 THEN 2.0 WHEN v_nom >= 220 THEN 1.5 ELSE 1.0 END) * greatest(length, 0.1) * (0.5 + r), 6)::DOUBLE AS score FROM line")

@@ -82,3 +82,31 @@ def test_commitment_keeps_minimum_times():
     # the dear large unit stopped two hours before, so it may not help in hour 6
     assert np.allclose(np.delete(met, 6), np.delete(need, 6)) and met[6] == 150
     assert price[2] == 80 and price[0] == 10
+
+
+def test_every_island_is_solved(spark):
+    buses, b0, b1, x, kv = ring()
+    rows = [(100 * k + n, int(i + 10 * k), int(j + 10 * k), float(a), 110.0, 1.0) for k in range(3) for n, (i, j, a) in enumerate(zip(b0, b1, x))]
+    lines = spark.createDataFrame(rows, "line_id long, bus0 long, bus1 long, x double, v_nom double, s_nom double")
+    island_of = network.islands(lines)
+    factors = network.island_factors(lines, island_of)
+    inj = island_of.selectExpr("1L AS snapshot", "island", "bus_id AS bus", "CAST(bus_id * bus_id AS DOUBLE) AS mw")
+    found = {r["line_id"]: r["mw"] for r in network.flows(factors, inj, ("snapshot", "island")).collect()}
+    h, _ = network.transfer_factors(buses, b0, b1, x, kv)
+    assert sorted(found) == sorted(r[0] for r in rows)
+    for k in range(3):
+        mw = (buses + 10.0 * k) ** 2
+        assert np.allclose([found[100 * k + n] for n in range(5)], h @ (mw - mw.mean()))
+
+
+def test_network_queries_reach_every_island(spark):
+    from gridweave.plans import catalogue
+    from gridweave.plans.roles import Roles
+
+    where = "/root/testdata/sf0.01"
+    stretch = Roles(spark, where).stretch.toPandas()
+    found = catalogue.queries()["dc_flows_all_islands"](spark, where).toPandas()
+    assert set(found["line_id"]) == set(stretch["line_id"]) and len(found) == 4 * len(stretch)
+    moved = catalogue.queries()["redispatch_lp"](spark, where).toPandas()
+    assert moved["bus"].max() > 5 and (moved[moved["bus"] > 5]["delta"].abs() > 0).any()
+    assert moved.groupby([moved["snapshot"], moved["bus"] // 6])["delta"].sum().abs().max() < 0.01
