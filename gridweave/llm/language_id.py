@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -264,17 +265,19 @@ class Scorer:
         return out
 
 
-def scored(docs: DataFrame, model: Model | None, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, entropy of every whole text; one narrow pass.
+def scored(docs: DataFrame, model: Model | None, folds: int = 3, held_out: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, entropy, chars of every whole text, and the columns ``keep``; one narrow pass.
 
     lang_pred is the language of the least cross-entropy per character; ``und`` (score
     0) if the text is null or has no letter, or if there was no language to learn.
     score: the share of that language when the likelihoods of a text of at most 64
     characters at the same rates are weighed against each other. entropy: nats per
-    character under the chosen model, null for ``und``. Null ids and repeated rows
-    are kept; an empty table gives an empty result.
+    character under the chosen model, null for ``und``. chars: characters scored, word
+    ends included. Null ids and repeated rows are kept; an empty table gives an empty
+    result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = list(keep)
 
     def work(batches):
         model = shared.value
@@ -282,6 +285,7 @@ def scored(docs: DataFrame, model: Model | None, folds: int = 3, held_out: int =
         for batch in slices_by_bytes(batches, "text", 2 << 20):
             texts = texts_of(batch)
             names, scores, entropies = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            chars = np.zeros(len(texts))
             if scorer:
                 sums = scorer.sums(texts)
                 chars = sums[:, -1]
@@ -291,33 +295,38 @@ def scored(docs: DataFrame, model: Model | None, folds: int = 3, held_out: int =
                     names[k] = model.languages[best]
                     scores[k] = float(1 / np.exp((rates - rates[best]) * min(chars[k], 64.0)).sum())
                     entropies[k] = float(-rates[best])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "entropy"])
+            found = [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(chars.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*found, *map(batch.column, keep)], names=["doc_id", "held_out", "lang_pred", "score", "entropy", "chars", *keep])
 
-    source = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(released(work), f"doc_id {kind}, held_out boolean, lang_pred string, score double, entropy double")
+    source = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text", *(c for c in keep if c != "text"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    return source.mapInArrow(released(work), f"doc_id {kinds['doc_id']}, held_out boolean, lang_pred string, score double, entropy double, chars long" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
-def with_rejection(found: DataFrame, factor: float = 6.0) -> DataFrame:
-    """Add ``rejected``: no language, or an entropy beyond what the language's texts have.
+def with_rejection(found: DataFrame, share: float = 0.99, margin: float = 0.25) -> DataFrame:
+    """Add ``rejected``: no language, or an entropy beyond what texts known to be in the language have.
 
-    Calibration: for each predicted language the median entropy over all documents
-    and ``factor`` times the distance from there to the ninth decile. Both come from
-    Spark's quantile sketch, one row per language, and are joined back.
+    found: as from :func:`language_id`, with ``lang`` and ``chars``. Calibration: for
+    each language the quantile ``share`` over the documents that are known to be in it
+    and were told as it, so that what is to be rejected has no say. An entropy counts
+    less twice its rough standard error, as those of short texts scatter. A language
+    that was told for none of its own documents takes the widest limit of the others.
     """
+    excess = F.col("entropy") - 2 / F.sqrt("chars")
     limits = (
-        found.where(F.col("entropy").isNotNull())
-        .groupBy("lang_pred")
-        .agg(F.percentile_approx("entropy", F.array(F.lit(0.5), F.lit(0.9)), 1000).alias("q"))
-        .select(F.col("lang_pred").alias("_lang"), (F.col("q")[0] + factor * (F.col("q")[1] - F.col("q")[0]) + 0.5).alias("_limit"))
+        found.where(F.col("entropy").isNotNull() & (F.col("lang") == F.col("lang_pred")))
+        .groupBy(F.col("lang").alias("_lang"))
+        .agg((F.percentile_approx(excess, share, 10_000) + margin).alias("_limit"))
     )
+    widest = limits.agg(F.max("_limit").alias("_widest"))
     return (
-        found.join(F.broadcast(limits.limit(MOST_LANGUAGES)), F.col("lang_pred") == F.col("_lang"), "left")
-        .withColumn("rejected", F.col("entropy").isNull() | (F.col("entropy") > F.coalesce("_limit", F.lit(float("inf")))))
-        .drop("_lang", "_limit")
+        found.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"), "left")
+        .crossJoin(F.broadcast(widest))
+        .withColumn("rejected", F.col("entropy").isNull() | (excess > F.coalesce("_limit", "_widest", F.lit(float("inf")))))
+        .drop("_lang", "_limit", "_widest")
     )
 
 
-def language_id(docs: DataFrame) -> DataFrame:
-    """Train on the learnable documents, then predict every document."""
-    return scored(docs, train(docs))
+def language_id(docs: DataFrame, keep: Sequence[str] = ("lang",)) -> DataFrame:
+    """Train on the learnable documents, then predict every document; columns as from :func:`scored`."""
+    return scored(docs, train(docs), keep=keep)

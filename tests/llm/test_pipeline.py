@@ -1,6 +1,7 @@
 """The stages, one by one, against what their operators and plain code say."""
 
 import collections
+import random
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -44,3 +45,14 @@ def test_one_row_of_repeated_ids_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_one_of_each(spark, docs, DATA).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept if r["doc_id"]) == [(False, 1), (False, 3)] and len(kept) == 3
+
+
+def test_foreign_documents_go_though_they_are_many(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    foreign = [(100_000 + k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(rng.randint(10, 120))), None, "s", 0) for k in range(100)]
+    both = docs.unionByName(spark.createDataFrame(foreign, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_foreign(spark, both, DATA).collect()}
+    own = {r["doc_id"] for r in docs.collect()}
+    assert not any(k >= 100_000 for k in kept)
+    assert len(own - kept) < 10
