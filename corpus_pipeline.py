@@ -21,33 +21,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ``rejected``; rows without doc_id stay."""
-    return docs.join(rejected.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: documents with a predicted 1 go."""
-    verdicts = stored(toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
-    return _without(docs, verdicts)
+    """Toxicity: rows with a predicted 1 go, each judged on its own text."""
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a language, or unlike any learned one, go."""
-    verdicts = stored(language_id.language_id(docs))
-    return _without(docs, stored(language_id.with_rejection(verdicts).where("rejected")))
+    """Language ID: rows without a language, or unlike any learned one, go, each judged on its own text."""
+    found = stored(language_id.language_id(docs, keep=COLUMNS[1:]))
+    return language_id.with_rejection(found).where("not rejected").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each class of near copies the document with the least doc_id stays, once."""
-    classes = stored(jaccard_join.jaccard_join(docs))
-    kept = _without(docs, classes.where("doc_id <> class_id"))
-    # rows that repeat a kept doc_id: one stays (they are few, and only they move)
-    repeated = stored(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.limit(1).count() == 0:
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in COLUMNS[1:]))
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    """N-gram Jaccard join: of each class of near copies the row with the least doc_id stays (one without only if none has one).
+
+    Classes are made of rows, not of ids: a number of the row takes the place of
+    doc_id in the join. It is written with the rows, as it depends on how they are dealt.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    classes = jaccard_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    ids = rows.select("_row", F.col("doc_id").isNull().alias("_none"), "doc_id")
+    first = stored(classes.join(ids, "_row").groupBy("class_id").agg(F.min(F.struct("_none", "doc_id", "_row")).alias("_f")).select("_f._row"))
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -214,13 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     return fit([r for r, f in zip(rows, flags) if f], [r for r, f in zip(rows, flags) if not f], prior)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text; one narrow pass.
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted of every whole text, and the columns ``keep``; one narrow pass.
 
     A null or empty text has the score of a text without known words. Null ids and
     repeated rows are kept, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = list(keep)
 
     def work(batches):
         at, values, bias = shared.value
@@ -234,13 +236,14 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresho
                 hit = dict(pair for found in set(map(memo.__getitem__, set(text.split()))) for pair in found)
                 total = math.fsum(known.get(b, 0.0) for b in with_levels(b for found in hit.values() for b in found)) if hit else 0.0
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + total)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64()), *map(batch.column, keep)], names=["doc_id", "held_out", "score", *keep])
 
-    source = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(released(work), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    source = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text", *(c for c in keep if c != "text"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    columns = f"doc_id {kinds['doc_id']}, held_out boolean, score double" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return source.mapInArrow(released(work), columns).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train, then score every document: doc_id, held_out, score, predicted."""
-    return scored(docs, train(docs, labels))
+def toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Train, then score every document: doc_id, held_out, score, predicted, and the columns ``keep``."""
+    return scored(docs, train(docs, labels), keep=keep)

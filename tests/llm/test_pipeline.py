@@ -56,3 +56,27 @@ def test_foreign_documents_go_though_they_are_many(spark):
     own = {r["doc_id"] for r in docs.collect()}
     assert not any(k >= 100_000 for k in kept)
     assert len(own - kept) < 10
+
+
+def test_rows_are_judged_not_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    verdicts = toxicity.toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect()
+    toxic = max(verdicts, key=lambda r: r["score"])["text"]
+    clean = min(verdicts, key=lambda r: r["score"])["text"]
+    more = spark.createDataFrame([(None, toxic, "en", "x", 0), (900_001, toxic, "en", "x", 0), (900_001, clean, "en", "x", 0), (None, clean, "en", "x", 0)], schema)
+    kept = corpus_pipeline.drop_toxic(spark, docs.unionByName(more), DATA).where("source = 'x'").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] == clean) for r in kept) == [(0, True), (900_001, True)]
+    more = spark.createDataFrame([(None, "12 34", "en", "x", 0), (900_001, "56 78", "en", "x", 0), (900_001, clean, "en", "x", 0)], schema)
+    kept = corpus_pipeline.drop_foreign(spark, docs.unionByName(more), DATA).where("source = 'x'").collect()
+    assert [(r["doc_id"], r["text"]) for r in kept] == [(900_001, clean)]
+
+
+def test_every_class_keeps_a_row_whatever_its_ids(spark):
+    a, b, c, d = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    # 7 leads the class of a and holds a copy of 3's text; 9 leads two classes; d has no id at all
+    rows = [(7, a), (8, a), (3, b), (7, b), (9, c), (9, "y z y z y y"), (None, c), (None, d), (None, d)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 11) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.keep_one_of_each(spark, docs, DATA).collect())
+    assert kept == sorted([(7, a), (3, b), (9, c), (9, "y z y z y y"), (0, d)])
