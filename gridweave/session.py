@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: Tables that :func:`stored` made in this process and nobody deleted yet.
+_made: list[str] = []
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -38,10 +40,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a private one where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a private one where it is unset and the master is local."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="gridweave-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         context.setCheckpointDir(local)
@@ -63,13 +67,28 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridweave_path = path
+    _made.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` that nothing reads any more."""
     path = getattr(df, "_gridweave_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def stored_alone(make, partition_by: list[str] | None = None) -> DataFrame:
+    """Store the DataFrame that ``make`` returns, and delete the tables that were stored on the way to it."""
+    before = set(_made)
+    out = stored(make(), partition_by)
+    for path in [p for p in _made if p not in before and p != out._gridweave_path]:
+        _delete(out.sparkSession, path)
+    return out
