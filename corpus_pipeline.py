@@ -28,8 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: rows without a language, or unlike any learned one, go, each judged on its own text."""
-    found = stored(language_id.language_id(docs, keep=COLUMNS[1:]))
-    return language_id.with_rejection(found).where("not rejected").select(*COLUMNS)
+    return language_id.language_id(docs, keep=COLUMNS[1:]).where("not rejected").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,36 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(owner, code, distinct): of each word the text that it is in and its place among the ``distinct`` words.
+
+    Words are what white space separates, by the same rule as ``str.split``; null is
+    the empty text. Splitting and telling words apart happen in Arrow, so only
+    distinct words become Python strings.
+    """
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    encoded = lists.flatten().dictionary_encode()
+    code, distinct = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+    if "" in distinct:  # white space at either end of a text
+        blank = distinct.index("")
+        keep = code != blank
+        owner, code = owner[keep], code[keep]
+        code = code - (code > blank)
+        del distinct[blank]
+    return owner, code, distinct
+
+
+def sums_by_owner(owner: np.ndarray, at: np.ndarray, values: np.ndarray, n: int, chunk: int = 400_000) -> np.ndarray:
+    """[n, columns]: sums of the rows ``values[at]`` by owner, in chunks of bounded size."""
+    out = np.zeros((n, values.shape[1]))
+    for k in range(0, len(at), chunk):
+        rows = values[at[k : k + chunk]]
+        for c in range(values.shape[1]):
+            out[:, c] += np.bincount(owner[k : k + chunk], rows[:, c], n)
+    return out
+
+
 def released(work):
     """Give a worker's memory back to the system when a task's generator ends.
 

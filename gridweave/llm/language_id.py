@@ -1,16 +1,19 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Words are read alone, between boundary marks, as letters in lower case. The
-counts of all n-grams up to ORDER come from every learnable document; the models
-of all languages share, per order, one sorted array of n-gram hashes with a row
-of log probabilities, and one of context hashes with a row of log back-off weights.
+Words are read alone, between boundary marks, as letters in lower case. Counts,
+discounts, continuation counts, back-off weights and interpolated probabilities
+of all n-grams up to ORDER are DataFrames over every learnable document: nothing
+is cut off. For scoring they become sorted hash arrays in shards of bounded size.
+A shard holds up to SHARD_LANGUAGES languages and all n-grams whose last
+character follows one of a range of characters, so each character of a text is
+scored in one shard alone and the shards' sums add up.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import fold, released, slices_by_bytes, texts_of
+from gridweave.llm.common import fold, released, slices_by_bytes, sums_by_owner, words_in
+from gridweave.session import discard, stored, stored_alone
 
 ORDER = 4
-#: The model keeps at most so many n-grams of each order (the most frequent) and so many languages.
-MOST_NGRAMS, MOST_LANGUAGES = 300_000, 64
 #: Words counted in a task before their n-grams are sent on, and words whose n-grams are made at once.
 FLUSH_WORDS, AT_ONCE = 300_000, 40_000
-#: Longer words are read in their first so many letters when they are scored and counted... as separate words of that length.
+#: N-grams and languages of a shard. More n-grams make more shards, each a pass over the texts.
+SHARD_ROWS, SHARD_LANGUAGES = 2_000_000, 8
+#: Characters before the predicted one fall into so many classes, which shards have ranges of.
+CLASSES = 256
+#: Longer runs of letters are read as several words of this length.
 WORD = 64
 UNDETERMINED = "und"
 
 _RUN = re.compile(r"[^\W\d_]+")
-_MARK = 32
 
 
 def words_of(piece: str) -> list[str]:
@@ -44,49 +49,42 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def ngrams(words: list[str]):
-    """(owner, position, {order: hashes}, starts) of all predicted characters.
+    """(owner, place, keep, hashes, contexts, before) of the characters of words with a mark at either end.
 
-    Position j of a word with marks at both ends is predicted from up to ORDER - 1
-    characters before it; hashes[k] is 0 where fewer than k - 1 come before.
+    A character at place j of its word is predicted (keep) from up to ORDER - 1
+    characters before it. hashes[k] is its n-gram of order k and contexts[k] the
+    k - 1 characters before it, as an n-gram of order k - 1; 0 where fewer come
+    before. before: the class of the one character before it.
     """
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
     flat = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     owner = np.repeat(np.arange(len(words)), lengths)
     place = np.arange(len(flat)) - starts[owner]
-    keep = place > 0
-    hashes = {}
+    hashes, contexts = {}, {1: np.zeros(len(flat), dtype=np.uint64)}
     rolling = np.zeros(len(flat), dtype=np.uint64)
     for k in range(1, ORDER + 1):
         shifted = np.zeros(len(flat), dtype=np.uint64)
         shifted[k - 1 :] = flat[: len(flat) - k + 1]
         rolling = _mix(rolling + (shifted + np.uint64(k << 24)) * np.uint64(0x9E3779B97F4A7C15))
-        own = rolling.copy()
-        own[place < k - 1] = 0
-        hashes[k] = own
-    return owner, place, keep, hashes
-
-
-def _contexts(hashes: dict, place: np.ndarray) -> dict:
-    """context[k]: the hash of the k - 1 characters before a position, as an n-gram of order k - 1 ending there."""
-    out = {1: np.zeros(len(place), dtype=np.uint64)}
-    for k in range(2, ORDER + 1):
-        before = np.zeros(len(place), dtype=np.uint64)
-        before[1:] = hashes[k - 1][:-1]
-        before[place < k - 1] = 0
-        out[k] = before
-    return out
+        hashes[k] = np.where(place < k - 1, np.uint64(0), rolling)
+        if k < ORDER:
+            contexts[k + 1] = np.where(place < k, np.uint64(0), np.r_[np.uint64(0), hashes[k][:-1]])
+    before = (_mix(np.r_[np.uint64(0), flat[:-1]] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(CLASSES)).astype(np.int32)
+    return owner, place, place > 0, hashes, contexts, before
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, order, gram, context, suffix, start, n) of all documents with a language, summed over the corpus."""
+    """(lang, order, gram, context, suffix, start, before, n) of all documents with a language, summed over the corpus.
+
+    start: the n-gram begins at a word's first mark, so nothing ever comes before it.
+    """
 
     def work(batches):
         held: dict[str, Counter] = {}
 
         def counted(lang, items):
-            owner, place, keep, hashes = ngrams([w for w, _ in items])
-            contexts = _contexts(hashes, place)
+            owner, place, keep, hashes, contexts, before = ngrams([w for w, _ in items])
             n = np.fromiter((c for _, c in items), dtype=np.int64, count=len(items))[owner]
             for k in range(1, ORDER + 1):
                 usable = keep & (place >= k - 1)
@@ -98,9 +96,10 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                         pa.array(np.full(len(grams), k, dtype=np.int32)),
                         *(pa.array(x.astype(np.int64)) for x in (grams, contexts[k][usable][first], suffix)),
                         pa.array(place[usable][first] == k - 1),
+                        pa.array(before[usable][first]),
                         pa.array(np.bincount(back, n[usable]).astype(np.int64)),
                     ],
-                    names=["lang", "order", "gram", "context", "suffix", "start", "n"],
+                    names=["lang", "order", "gram", "context", "suffix", "start", "before", "n"],
                 )
 
         def flushed():
@@ -109,80 +108,91 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 for piece, n in pieces.items():
                     for w in words_of(piece):
                         words[w] += n
-                if not words:
-                    continue
                 items = list(words.items())
                 for k in range(0, len(items), AT_ONCE):
                     yield from counted(lang, items[k : k + AT_ONCE])
             held.clear()
 
         for batch in slices_by_bytes(batches, "text", 4 << 20):
-            for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                held.setdefault(lang, Counter()).update(text.split())
+            owner, code, distinct = words_in(batch.column(1))
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            names, of = np.unique(langs.astype(str), return_inverse=True)
+            for k, name in enumerate(names.tolist()):
+                at, times = np.unique(code[of[owner] == k], return_counts=True)
+                held.setdefault(name, Counter()).update(dict(zip(map(distinct.__getitem__, at.tolist()), times.tolist())))
             if sum(map(len, held.values())) > FLUSH_WORDS:
                 yield from flushed()
         yield from flushed()
 
-    found = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(released(work), "lang string, order int, gram long, context long, suffix long, start boolean, n long")
-    return found.groupBy("lang", "order", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("start").alias("start"), F.sum("n").alias("n"))
+    found = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    found = found.mapInArrow(released(work), "lang string, order int, gram long, context long, suffix long, start boolean, before int, n long")
+    return found.groupBy("lang", "order", "gram").agg(*(F.first(c).alias(c) for c in ("context", "suffix", "start", "before")), F.sum("n").alias("n"))
 
 
-class Model:
-    """Sorted hash arrays with one column per language."""
+def smoothed(counts: DataFrame, letters: int) -> DataFrame:
+    """Interpolated Kneser-Ney over :func:`ngram_counts`: (lang, order, gram, context, suffix, before, p, back).
 
-    def __init__(self, counts: pd.DataFrame):
-        self.languages = sorted(counts["lang"].unique())
-        column = {l: k for k, l in enumerate(self.languages)}
-        width = len(self.languages)
+    Below the highest order an n-gram counts the different characters that come
+    before it (one that starts a word has none and keeps its count). The discount is
+    ones / (ones + 2 twos) of the language and order; 1/2 where either is 0, as in
+    tables too small to tell. p is what is left of the share in the context plus the
+    context's back-off weight times the suffix's p, down to 1 / letters.
+    """
+    key = ["lang", "order", "gram"]
+    above = counts.where("order > 1").groupBy("lang", (F.col("order") - 1).alias("order"), F.col("suffix").alias("gram")).agg(F.count("*").alias("_left"))
+    adjusted = counts.join(above, key, "left").withColumn("n", F.when((F.col("order") == ORDER) | F.col("start"), F.col("n")).otherwise(F.coalesce("_left", F.lit(0)))).drop("_left", "start")
+    ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+    discounts = adjusted.groupBy("lang", "order").agg(F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("_d"))
+    places = adjusted.groupBy("lang", "order", "context").agg(F.sum("n").alias("_total"), F.count_if(F.col("n") > 0).alias("_kinds"))
+    places = places.join(discounts, ["lang", "order"]).withColumn("back", F.col("_d") * F.col("_kinds") / F.col("_total"))
+    rows = stored(adjusted.join(places, ["lang", "order", "context"]).withColumn("own", F.greatest(F.col("n") - F.col("_d"), F.lit(0.0)) / F.col("_total")).drop("_d", "_kinds", "_total", "n"))
+    columns = ("lang", "order", "gram", "context", "suffix", "before", "p", "back")
+    level = rows.where("order = 1").withColumn("p", F.col("own") + F.col("back") / F.lit(float(letters))).select(*columns)
+    levels = [level]
+    for k in range(2, ORDER + 1):
+        lower = level.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("_below"))
+        level = rows.where(F.col("order") == k).join(lower, ["lang", "suffix"], "left")
+        level = level.withColumn("p", F.col("own") + F.col("back") * F.coalesce("_below", F.lit(1.0 / letters))).select(*columns)
+        levels.append(level)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+class Shard:
+    """Sorted hash arrays with one column per language, for characters after the classes from ``low`` up to ``high``."""
+
+    def __init__(self, rows: pd.DataFrame, languages: list[str], low: int, high: int, letters: int):
+        self.languages, self.low, self.high = languages, low, high
         self.grams, self.logp, self.contexts, self.logb = {}, {}, {}, {}
-        tables = {k: counts[counts["order"] == k] for k in range(1, ORDER + 1)}
-        letters = max(2, tables[1]["gram"].nunique() + 1)
         self.floor = -np.log(letters)
+        width, column = len(languages), {l: k for k, l in enumerate(languages)}
         lower = None
         for k in range(1, ORDER + 1):
-            rows = tables[k]
-            lang = rows["lang"].map(column).to_numpy(dtype=np.int64)
-            gram = rows["gram"].to_numpy().astype(np.uint64)
-            raw = rows["n"].to_numpy(dtype=np.float64)
-            grams = np.unique(gram)
-            if k < ORDER:
-                # continuation counts: the different characters that come before; what starts a word has none and keeps its count
-                above = tables[k + 1]
-                ends = np.searchsorted(grams, above["suffix"].to_numpy().astype(np.uint64))
-                ends[ends == len(grams)] = 0
-                right = grams[ends] == above["suffix"].to_numpy().astype(np.uint64) if len(grams) else np.zeros(len(above), dtype=bool)
-                continued = np.bincount((ends * width + above["lang"].map(column).to_numpy(dtype=np.int64))[right], minlength=len(grams) * width)
-                n = np.where(rows["start"].to_numpy(dtype=bool), raw, continued[np.searchsorted(grams, gram) * width + lang])
-            else:
-                n = raw
-            ones, twos = (n == 1).sum(), (n == 2).sum()
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            contexts, at = np.unique(rows["context"].to_numpy().astype(np.uint64), return_inverse=True)
-            cell = at * width + lang
-            total = np.bincount(cell, n, len(contexts) * width)
-            kinds = np.bincount(cell, n > 0, len(contexts) * width)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                back = np.where(total > 0, discount * kinds / total, 1.0).reshape(len(contexts), width)
-            own = np.zeros((len(grams), width))
-            own[np.searchsorted(grams, gram), lang] = np.maximum(n - discount, 0) / np.maximum(total[cell], 1e-300) * (total[cell] > 0)
-            _, first = np.unique(gram, return_index=True)
-            context_of = np.searchsorted(contexts, rows["context"].to_numpy().astype(np.uint64)[first])
+            part = rows[rows["order"] == k]
+            lang = part["lang"].map(column).to_numpy(dtype=np.int64)
+            gram, context = (part[c].to_numpy(dtype=np.int64).astype(np.uint64) for c in ("gram", "context"))
+            grams, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            contexts, place = np.unique(context, return_inverse=True)
+            back = np.ones((len(contexts), width))
+            back[place, lang] = part["back"].to_numpy()
             if lower is None:
                 below = np.full((len(grams), width), 1.0 / letters)
             else:
-                suffix = rows["suffix"].to_numpy().astype(np.uint64)[first]
+                suffix = part["suffix"].to_numpy(dtype=np.int64).astype(np.uint64)[first]
                 where = np.minimum(np.searchsorted(self.grams[k - 1], suffix), len(lower) - 1)
                 below = np.where((self.grams[k - 1][where] == suffix)[:, None], lower[where], 1.0 / letters)
-            lower = own + back[context_of] * below
+            lower = back[place[first]] * below  # what a language has that never met the n-gram
+            lower[at, lang] = part["p"].to_numpy()
             self.grams[k], self.contexts[k] = grams, contexts
-            self.logp[k] = np.log(np.maximum(lower, 1e-12)).astype(np.float32)
-            self.logb[k] = np.log(np.maximum(back, 1e-12)).astype(np.float32)
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """[word, language]: the log probability of the word's letters and its end."""
-        owner, place, keep, hashes = ngrams(words)
-        contexts = _contexts(hashes, place)
-        todo = np.flatnonzero(keep)
+            self.logp[k], self.logb[k] = np.log(lower), np.log(back)
+
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """[word, language]: the log probability of the word's letters and its end, as far as they are this shard's; and their number."""
+        owner, place, keep, hashes, contexts, before = ngrams(words)
+        todo = np.flatnonzero(keep & (before >= self.low) & (before < self.high))
+        chars = np.bincount(owner[todo], minlength=len(words))
         out = np.zeros((len(words), len(self.languages)))
         for k in range(ORDER, 0, -1):
             able = place[todo] >= k - 1
@@ -202,131 +212,197 @@ class Model:
                 for l in range(out.shape[1]):
                     out[:, l] += np.bincount(owner[where], value[:, l], len(words))
             todo = np.r_[missed, todo[~able]]
-        out += (np.bincount(owner[todo], minlength=len(words)) * self.floor)[:, None]
-        return out
+        return out + (np.bincount(owner[todo], minlength=len(words)) * self.floor)[:, None], chars
 
 
-def train(docs: DataFrame, folds: int = 3, held_out: int = 1, most_ngrams: int = MOST_NGRAMS) -> Model | None:
-    """Count n-grams over every learnable document and build the models; None if there is no language to learn.
-
-    The counts are summed in Spark over all data; the driver gets the ``most_ngrams``
-    most frequent n-grams of each order, so the model's size has a fixed bound.
-    """
-    learn = docs.where((fold("doc_id", folds) != held_out)).select("lang", "text")
-    counts = ngram_counts(learn)
-    kept = None
-    from gridweave.session import discard, stored
-
-    counts = stored(counts)
-    names = [r["lang"] for r in counts.where("order = 1").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    for k in range(1, ORDER + 1):
-        part = counts.where((F.col("order") == k) & F.col("lang").isin(names)).orderBy(F.desc("n"), "lang", "gram").limit(most_ngrams).toPandas()
-        kept = part if kept is None else pd.concat([kept, part], ignore_index=True)
+class Model:
+    """Smoothed n-grams of all languages on shared storage, and how they are dealt into shards."""
+
+    def __init__(self, table: DataFrame, letters: int, shard_rows: int = SHARD_ROWS, shard_languages: int = SHARD_LANGUAGES):
+        self.table, self.letters = table, letters
+        sizes: dict[str, np.ndarray] = {}
+        for r in table.groupBy("lang", F.when(F.col("order") > 1, F.col("before")).alias("before")).count().collect():
+            row = sizes.setdefault(r["lang"], np.zeros(CLASSES, dtype=np.int64))
+            if r["before"] is not None:
+                row[r["before"]] += r["count"]
+        self.languages = sorted(sizes)
+        self.plan: list[tuple[list[str], int, int]] = []
+        for k in range(0, len(self.languages), shard_languages):
+            group = self.languages[k : k + shard_languages]
+            total, low, held = sum(sizes[l] for l in group), 0, 0
+            for c in range(CLASSES):
+                if held and held + total[c] > shard_rows:
+                    self.plan.append((group, low, c))
+                    low, held = c, 0
+                held += total[c]
+            self.plan.append((group, low, CLASSES))
+
+    def shards(self) -> Iterator[Shard]:
+        """One after the other; the driver holds one at a time."""
+        for group, low, high in self.plan:
+            mine = F.col("lang").isin(group) & ((F.col("order") == 1) | ((F.col("before") >= low) & (F.col("before") < high)))
+            yield Shard(self.table.where(mine).toPandas(), group, low, high, self.letters)
+
+
+def train(docs: DataFrame, folds: int = 3, held_out: int = 1, shard_rows: int = SHARD_ROWS, shard_languages: int = SHARD_LANGUAGES) -> Model | None:
+    """Count the n-grams of every learnable document and smooth them; None if there is no language to learn."""
+    counts = stored(ngram_counts(docs.where((fold("doc_id", folds) != held_out)).select("lang", "text")))
+    letters = counts.where("order = 1").select("gram").distinct().count() + 1
+    if letters == 1:
+        return None
+    table = stored_alone(lambda: smoothed(counts, letters))
     discard(counts)
-    return Model(kept) if len(kept) else None
+    return Model(table, letters, shard_rows, shard_languages)
 
 
 class Scorer:
-    """Scores texts in a worker; the words it has met lately are kept, a bounded number of them."""
+    """Scores texts in a worker; the pieces it has met lately are kept, a bounded number of them."""
 
-    def __init__(self, model: Model, memo: int = 200_000):
-        self.model, self.memo = model, memo
+    def __init__(self, shard: Shard, memo: int = 200_000):
+        self.shard, self.memo = shard, memo
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.languages) + 1))
+        self.table = np.zeros((0, len(shard.languages) + 1))
 
-    def pieces(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         """Make rows for pieces of text: the sum over their words, and the number of characters scored."""
         words = [words_of(p) for p in pieces]
         flat = [w for ws in words for w in ws]
         owner = np.repeat(np.arange(len(pieces)), [len(ws) for ws in words])
-        new = np.zeros((len(pieces), len(self.model.languages) + 1))
+        new = np.zeros((len(pieces), self.table.shape[1]))
         if flat:
-            scores = self.model.word_scores(flat)
-            chars = np.fromiter(map(len, flat), dtype=np.float64, count=len(flat)) + 1
+            scores, chars = self.shard.word_scores(flat)
             for l in range(scores.shape[1]):
                 new[:, l] = np.bincount(owner, scores[:, l], len(pieces))
             new[:, -1] = np.bincount(owner, chars, len(pieces))
         self.rows.update(zip(pieces, range(len(self.table), len(self.table) + len(pieces))))
         self.table = np.concatenate([self.table, new])
 
-    def sums(self, texts: list[str]) -> np.ndarray:
+    def sums(self, texts: pa.Array) -> np.ndarray:
         """[text, language]: summed log probabilities; last column: characters."""
-        split = [t.split() for t in texts]
+        owner, code, distinct = words_in(texts)
         if len(self.rows) > self.memo:
             self.rows, self.table = {}, self.table[:0]
-        fresh = list({p for s in split for p in s if p not in self.rows})
+        fresh = [p for p in distinct if p not in self.rows]
         for k in range(0, len(fresh), AT_ONCE // 2):
-            self.pieces(fresh[k : k + AT_ONCE // 2])
-        out = np.zeros((len(texts), self.table.shape[1]))
-        for k, s in enumerate(split):
-            if s:
-                at = np.fromiter(map(self.rows.__getitem__, s), dtype=np.int64, count=len(s))
-                out[k] = np.bincount(at, minlength=1) @ self.table[: at.max() + 1] if len(s) > len(self.table) else self.table[at].sum(axis=0)
-        return out
+            self.learn(fresh[k : k + AT_ONCE // 2])
+        at = np.fromiter(map(self.rows.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        return sums_by_owner(owner, at[code] if len(code) else code, self.table, len(texts))
+
+
+def _verdicts(sums: np.ndarray, chars: np.ndarray, languages: list[str]) -> list[pa.Array]:
+    """lang_pred, score, entropy, chars from summed log probabilities."""
+    if not languages:
+        names = np.full(len(chars), UNDETERMINED, dtype=object)
+        return [pa.array(names, pa.string()), pa.array(np.zeros(len(chars))), pa.nulls(len(chars), pa.float64()), pa.array(chars.astype(np.int64))]
+    some = chars > 0
+    rates = sums / np.maximum(chars, 1)[:, None]
+    best = rates.argmax(axis=1)
+    top = rates[np.arange(len(rates)), best]
+    shares = 1 / np.exp((rates - top[:, None]) * np.minimum(chars, 64.0)[:, None]).sum(axis=1)
+    names = np.where(some, np.array(languages, dtype=object)[best], UNDETERMINED)
+    return [pa.array(names.tolist(), pa.string()), pa.array(np.where(some, shares, 0.0)), pa.array(-top, mask=~some), pa.array(chars.astype(np.int64))]
 
 
 def scored(docs: DataFrame, model: Model | None, folds: int = 3, held_out: int = 1, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, entropy, chars of every whole text, and the columns ``keep``; one narrow pass.
+    """doc_id, held_out, lang_pred, score, entropy, chars of every whole text, and the columns ``keep``.
 
     lang_pred is the language of the least cross-entropy per character; ``und`` (score
     0) if the text is null or has no letter, or if there was no language to learn.
     score: the share of that language when the likelihoods of a text of at most 64
     characters at the same rates are weighed against each other. entropy: nats per
     character under the chosen model, null for ``und``. chars: characters scored, word
-    ends included. Null ids and repeated rows are kept; an empty table gives an empty
-    result.
+    ends included. Ties go to the language that comes first by name. Null ids and
+    repeated rows are kept; an empty table gives an empty result.
+
+    With one shard this is one narrow pass. With more, each shard is broadcast for a
+    pass of its own that leaves sums by row, and the rows' sums meet at the end.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = list(keep)
-
-    def work(batches):
-        model = shared.value
-        scorer = Scorer(model) if model else None
-        for batch in slices_by_bytes(batches, "text", 2 << 20):
-            texts = texts_of(batch)
-            names, scores, entropies = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            chars = np.zeros(len(texts))
-            if scorer:
-                sums = scorer.sums(texts)
-                chars = sums[:, -1]
-                for k in np.flatnonzero(chars > 0):
-                    rates = sums[k, :-1] / chars[k]
-                    best = int(rates.argmax())
-                    names[k] = model.languages[best]
-                    scores[k] = float(1 / np.exp((rates - rates[best]) * min(chars[k], 64.0)).sum())
-                    entropies[k] = float(-rates[best])
-            found = [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(chars.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*found, *map(batch.column, keep)], names=["doc_id", "held_out", "lang_pred", "score", "entropy", "chars", *keep])
-
     source = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text", *(c for c in keep if c != "text"))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    return source.mapInArrow(released(work), f"doc_id {kinds['doc_id']}, held_out boolean, lang_pred string, score double, entropy double, chars long" + "".join(f", `{c}` {kinds[c]}" for c in keep))
+    fixed = f"doc_id {kinds['doc_id']}, held_out boolean, lang_pred string, score double, entropy double, chars long" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    names = ["doc_id", "held_out", "lang_pred", "score", "entropy", "chars", *keep]
+    spread = docs.sparkSession.sparkContext.broadcast
+    if model is None or len(model.plan) == 1:
+        shared = spread(next(model.shards()) if model else None)
+
+        def work(batches):
+            shard = shared.value
+            scorer = Scorer(shard) if shard else None
+            for batch in slices_by_bytes(batches, "text", 2 << 20):
+                sums = scorer.sums(batch.column("text")) if scorer else np.zeros((batch.num_rows, 1))
+                verdicts = _verdicts(sums[:, :-1], sums[:, -1], shard.languages if shard else [])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *verdicts, *map(batch.column, keep)], names=names)
+
+        return source.mapInArrow(released(work), fixed)
+
+    # the numbers of the rows are written with them, as they depend on how rows are dealt
+    rows = stored(source.withColumn("_row", F.monotonically_increasing_id()))
+    languages, parts = model.languages, []
+    for k, shard in enumerate(model.shards()):
+        shared = spread(shard)
+
+        def partial(batches, shared=shared):
+            scorer = Scorer(shared.value)
+            for batch in slices_by_bytes(batches, "text", 2 << 20):
+                sums = scorer.sums(batch.column("text"))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), lists], names=["_row", "sums"])
+
+        parts.append(stored(rows.select("_row", "text").mapInArrow(released(partial), "_row long, sums array<double>").withColumn("shard", F.lit(k))))
+        shared.destroy()
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    first = {l: k for k, l in enumerate(languages)}
+    layout = [(first[group[0]], len(group)) for group, _, _ in model.plan]
+
+    def joined(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, len(languages)))
+            chars = np.zeros(batch.num_rows)
+            for r, shards in enumerate(batch.column("found").to_pylist()):
+                for found in shards:
+                    at, width = layout[found["shard"]]
+                    out[r, at : at + width] += found["sums"][:-1]
+                    chars[r] += found["sums"][-1] if at == 0 else 0
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *_verdicts(out, chars, languages)], names=["_row", *names[2:6]])
+
+    by_row = both.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("shard", "sums"))).alias("found"))
+    verdicts = by_row.mapInArrow(released(joined), "_row long, lang_pred string, score double, entropy double, chars long")
+    return rows.join(verdicts, "_row").select(*names)
 
 
 def with_rejection(found: DataFrame, share: float = 0.99, margin: float = 0.25) -> DataFrame:
     """Add ``rejected``: no language, or an entropy beyond what texts known to be in the language have.
 
     found: as from :func:`language_id`, with ``lang`` and ``chars``. Calibration: for
-    each language the quantile ``share`` over the documents that are known to be in it
-    and were told as it, so that what is to be rejected has no say. An entropy counts
-    less twice its rough standard error, as those of short texts scatter. A language
-    that was told for none of its own documents takes the widest limit of the others.
+    each language the quantile ``share`` over the learnable documents that are known to
+    be in it and were told as it, so that neither held-out rows nor what is to be
+    rejected has a say. An entropy counts less twice its rough standard error, as those
+    of short texts scatter. A language that was told for none of its own documents
+    takes the widest limit of the others; without any limit only ``und`` is rejected.
     """
     excess = F.col("entropy") - 2 / F.sqrt("chars")
-    limits = (
-        found.where(F.col("entropy").isNotNull() & (F.col("lang") == F.col("lang_pred")))
-        .groupBy(F.col("lang").alias("_lang"))
-        .agg((F.percentile_approx(excess, share, 10_000) + margin).alias("_limit"))
-    )
-    widest = limits.agg(F.max("_limit").alias("_widest"))
+    known = found.where(~F.col("held_out") & F.col("entropy").isNotNull() & (F.col("lang") == F.col("lang_pred")))
+    limits = known.groupBy(F.col("lang").alias("_lang")).agg((F.percentile_approx(excess, share, 10_000) + margin).alias("_limit"))
+    widest = limits.agg(F.max("_limit")).first()[0]
     return (
-        found.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"), "left")
-        .crossJoin(F.broadcast(widest))
-        .withColumn("rejected", F.col("entropy").isNull() | (excess > F.coalesce("_limit", "_widest", F.lit(float("inf")))))
-        .drop("_lang", "_limit", "_widest")
+        found.join(limits, F.col("lang_pred") == F.col("_lang"), "left")
+        .withColumn("rejected", F.col("entropy").isNull() | (excess > F.coalesce("_limit", F.lit(float("inf") if widest is None else widest))))
+        .drop("_lang", "_limit")
     )
 
 
-def language_id(docs: DataFrame, keep: Sequence[str] = ("lang",)) -> DataFrame:
-    """Train on the learnable documents, then predict every document; columns as from :func:`scored`."""
-    return scored(docs, train(docs), keep=keep)
+def language_id(docs: DataFrame, keep: Sequence[str] = ("lang",), **shards: int) -> DataFrame:
+    """Train on the learnable documents, predict every document, and tell what to reject.
+
+    Columns as from :func:`scored`, and ``rejected``; nulls, empty texts, ties, repeated
+    rows and empty tables as told there. ``lang`` (null: nothing to learn from) is read
+    for learning and calibration only. Columns of docs that are not in ``keep`` are not
+    read. shards: shard_rows, shard_languages, as for :func:`train`.
+    """
+    asked = list(dict.fromkeys(["lang", *keep]))
+    found = stored_alone(lambda: scored(docs, train(docs, **shards), keep=asked))
+    names = ["doc_id", "held_out", "lang_pred", "score", "entropy", "chars", *keep, "rejected"]
+    return with_rejection(found).select(*names)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridweave.llm import chat_format, exact_topk, fingerprints, jaccard_join, language_id, packing, queries, source_mix, tokenizer
+from gridweave.llm import chat_format, exact_topk, fingerprints, jaccard_join, packing, queries, source_mix, tokenizer
 
 DATA = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
@@ -246,59 +246,12 @@ def test_roles_are_recovered(spark):
     assert len(rows) == len(truth) and (both["role_pred"] == both["role"]).mean() > 0.85
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(["the cat sat on the mat", "a cat and a dog", "the dog sat"])] + [(9, "xx", "zzz zyx")], "doc_id long, lang string, text string")
-    model = language_id.Model(language_id.ngram_counts(docs).toPandas())
-    letters = sorted(set("thecasonmdg "))
-    for context in ("ca", "do", "t", ""):
-        total = 0.0
-        for c in [*letters, "z", "y", "x"]:
-            # the probability of c after the context, as the difference of two scores
-            word = context + (c if c != " " else "")
-            out = model.word_scores([word])[0, model.languages.index("en")]
-            owner, place, keep, hashes = language_id.ngrams([word])
-            end = model.word_scores([word])[0] if c == " " else None
-            if c == " ":
-                total += np.exp(end[model.languages.index("en")] - prefix_score(model, word))
-            else:
-                total += np.exp(prefix_score(model, word) - prefix_score(model, context))
-            assert np.isfinite(out)
-        assert total == pytest.approx(1, abs=0.12)
-
-
-def prefix_score(model, word):
-    """The score of the letters alone: that of all characters less that of the end mark."""
-    if not word:
-        return 0.0
-    k = model.languages.index("en")
-    owner, place, keep, hashes = language_id.ngrams([word])
-    contexts = language_id._contexts(hashes, place)
-    at, total = len(place) - 1, 0.0
-    for order in range(language_id.ORDER, 0, -1):
-        if place[at] < order - 1:
-            continue
-        g = np.searchsorted(model.grams[order], hashes[order][at])
-        if g < len(model.grams[order]) and model.grams[order][g] == hashes[order][at]:
-            return model.word_scores([word])[0, k] - (total + model.logp[order][g, k])
-        c = np.searchsorted(model.contexts[order], contexts[order][at])
-        if c < len(model.contexts[order]) and model.contexts[order][c] == contexts[order][at]:
-            total += model.logb[order][c, k]
-    return model.word_scores([word])[0, k] - (total + model.floor)
-
-
 def held_out(spark, rows, column):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").toPandas()
     both = rows.merge(labels, on="doc_id")
     return both[both["held_out"]], column
 
 
-def test_languages_are_told(spark):
-    rows = queries.op9_language_id(spark, SMALL).toPandas()
-    both = rows.merge(spark.read.parquet(f"{SMALL}/documents.parquet").toPandas(), on="doc_id")
-    test = both[both["held_out"]]
-    assert (test["lang_pred"] == test["lang"]).mean() > 0.97
-
-
 def test_toxic_documents_are_found(spark):
     test, _ = held_out(spark, queries.op5_toxicity(spark, SMALL).toPandas(), "toxic")
     assert test[test["toxic"] == 0]["predicted"].mean() < 0.05
