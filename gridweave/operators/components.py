@@ -16,7 +16,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     star per component in a number of rounds that grows with the logarithm of the
     component's diameter. A round is two aggregations and two joins on the node;
     its links are written to the shared folder, which cuts the lineage. Only one
-    flag per round reaches the driver.
+    flag per round reaches the driver. Raises if ``most_rounds`` rounds are not enough.
     """
     pairs = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u"))
     loops = pairs.where("u = v").select("u")
@@ -38,6 +38,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
         edges = after
         if done:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("component"))
     found = edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots.distinct())
     alone = loops.distinct().join(found.select(F.col("node").alias("u")), "u", "left_anti").select(F.col("u").alias("node"), F.col("u").alias("component"))
