@@ -1,10 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Only confirmed toxic examples and unlabelled text are used. The unlabelled text
-holds toxic documents too, in the share of the class prior, so the plain risk of
-calling it clean is corrected by the prior; where the corrected part would turn
-negative (the model has begun to learn the examples by heart), the step goes the
-other way instead.
+Only confirmed toxic examples and unlabelled text are used: all text of the
+corpus is unlabelled text. It holds toxic documents too, in the share of the
+class prior, so the plain risk of calling it clean is corrected by the prior;
+where the corrected part would turn negative (the model has begun to learn the
+examples by heart), the step goes the other way instead.
 """
 
 from __future__ import annotations
@@ -12,23 +12,25 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Sequence
+from array import array
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Memo, fold, released, slices_by_bytes, texts_of
-from gridweave.session import discard, stored
+from gridweave.llm.common import fold, released, slices_by_bytes, words_in
+from gridweave.session import stored
 
 #: Feature buckets. A word and each of its stems (its first letters) fall into one bucket each.
 BUCKETS, STEMS, LEVELS = 1 << 22, (3, 4, 5, 6), (2, 3, 5, 8)
 #: A feature takes part if positive and unlabelled documents differ in it by this log-likelihood ratio.
 EVIDENCE = 20.0
-#: The sample that a model is fitted on holds about so many documents of either kind at most.
-MOST_POSITIVE, MOST_UNLABELLED = 5_000, 10_000
+#: About so many confirmed toxic documents at most are learned from. Unlabelled documents all are.
+MOST_POSITIVE = 5_000
+#: Numbers (features of different documents) up to which the risk is summed in the driver instead of in tasks, with the same result.
+IN_DRIVER = 4_000_000
 THRESHOLD = 0.3
 
 _RUN = re.compile(r"[^\W\d_]+")
@@ -39,211 +41,293 @@ def buckets_of(run: str) -> tuple[int, ...]:
     return (zlib.crc32(run.encode()) % BUCKETS, *(zlib.crc32(b"^" + run[:k].encode()) % BUCKETS for k in STEMS if len(run) > k))
 
 
-def runs_of(piece: str) -> tuple[str, ...]:
-    return tuple(_RUN.findall(piece.lower()))
+class Features:
+    """Features of texts, for a batch at a time.
 
+    A document has a bucket if one of its different words falls into it, and a
+    further one for buckets (stems) that 2, 3, 5 and 8 of its words fall into. Only
+    ``wanted`` buckets (ascending; None: all) are told, by their places in it.
+    """
 
-def with_levels(buckets) -> set[int]:
-    """Distinct buckets, and further ones for buckets (stems) that 2, 3, 5 and 8 different words of a document fall into."""
-    found = set()
-    for bucket, n in Counter(buckets).items():
-        found.add(bucket)
-        found.update((bucket * 31 + level) % BUCKETS for level in LEVELS if n >= level)
-    return found
-
+    def __init__(self, wanted: np.ndarray | None = None, memo: int = 300_000):
+        self.wanted, self.memo = wanted, memo
+        self.is_wanted = np.ones(BUCKETS, dtype=bool)
+        if wanted is not None:
+            self.is_wanted[:] = False
+            self.is_wanted[wanted] = True
+        # a bucket matters if it is wanted itself or if one of its further ones is
+        matters = self.is_wanted.copy()
+        back = pow(31, -1, BUCKETS)
+        for level in LEVELS if wanted is not None else ():
+            matters[(wanted.astype(np.int64) - level) * back % BUCKETS] = True
+        self.matters = matters.astype(np.uint8).tobytes()
+        self._forget()
+
+    def _forget(self):
+        self.pieces: dict[str, int] = {}
+        self.runs: dict[str, int] = {}
+        self.piece_runs, self.piece_ends = array("q"), array("q", [0])
+        self.run_buckets, self.run_ends = array("q"), array("q", [0])
+
+    def _learn(self, piece: str) -> None:
+        for run in set(_RUN.findall(piece.lower())):
+            at = self.runs.get(run)
+            if at is None:
+                found = [b for b in buckets_of(run) if self.matters[b]]
+                at = -1
+                if found:
+                    at = len(self.run_ends) - 1
+                    self.run_buckets.extend(found)
+                    self.run_ends.append(len(self.run_buckets))
+                self.runs[run] = at
+            if at >= 0:
+                self.piece_runs.append(at)
+        self.pieces[piece] = len(self.piece_ends) - 1
+        self.piece_ends.append(len(self.piece_runs))
+
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        owner, code, distinct = words_in(texts)
+        if len(self.pieces) > self.memo or len(self.runs) > self.memo:
+            self._forget()
+        for piece in distinct:
+            if piece not in self.pieces:
+                self._learn(piece)
+        piece = np.fromiter(map(self.pieces.__getitem__, distinct), dtype=np.int64, count=len(distinct))[code] if len(code) else np.zeros(0, np.int64)
+        owner, run = _expand(owner, piece, np.array(self.piece_ends), np.array(self.piece_runs))
+        key = np.unique(owner * len(self.run_ends) + run)
+        owner, run = np.divmod(key, len(self.run_ends))
+        owner, bucket = _expand(owner, run, np.array(self.run_ends), np.array(self.run_buckets))
+        key, n = np.unique(owner * BUCKETS + bucket, return_counts=True)
+        owner, bucket = np.divmod(key, BUCKETS)
+        found = [key[self.is_wanted[bucket]]]
+        for level in LEVELS:
+            many = n >= level
+            further = (bucket[many] * 31 + level) % BUCKETS
+            found.append((owner[many] * BUCKETS + further)[self.is_wanted[further]])
+        owner, bucket = np.divmod(np.unique(np.concatenate(found)), BUCKETS)
+        values = bucket if self.wanted is None else np.searchsorted(self.wanted, bucket)
+        offsets = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _expand(owner, item, ends, members):
+    """Each (owner, item) as (owner, member) for the item's members, ``members[ends[item]:ends[item + 1]]``."""
+    sizes = ends[item + 1] - ends[item]
+    some = sizes > 0
+    owner, item, sizes = owner[some], item[some], sizes[some]
+    first = np.repeat(ends[item] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+    return np.repeat(owner, sizes), members[first + np.arange(len(first))]
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with ``features`` (distinct buckets, ascending) in place of the text."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
 
-    def work(batches):
-        runs, memo = Memo(runs_of, 40_000), Memo(buckets_of, 40_000)
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
-            rows = [np.array(sorted(with_levels(b for r in {r for p in set(t.split()) for r in runs[p]} for b in memo[r])), dtype=np.int32) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), pa.array(rows, pa.list_(pa.int32()))], names=[*(f.name for f in keep), "features"])
+def evidence(n_p, n_u, total_p, total_u):
+    """The log-likelihood ratio of a feature seen in n_p of total_p positive and n_u of total_u unlabelled documents; 0 if it speaks against."""
+    n_p, n_u = np.asarray(n_p, dtype=np.float64), np.asarray(n_u, dtype=np.float64)
+    expected = (n_p + n_u) * (total_p / max(1, total_p + total_u))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(n_p > 0, n_p * np.log(n_p / expected), 0) + np.where(n_u > 0, n_u * np.log(n_u / (n_p + n_u - expected)), 0))
+    return np.where((n_p >= 2) & (n_p > expected), ratio, 0.0)
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "features array<int>"])
-    return docs.mapInArrow(released(work), schema)
 
+class Patterns:
+    """Different rows of binary features, each with the number of documents that have it."""
 
-class _Sparse:
-    """Rows of binary features."""
+    def __init__(self, lists: pa.ListArray, n: np.ndarray):
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        self.n, self.sizes = np.asarray(n, dtype=np.float64), np.diff(offsets)
+        self.columns = np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int64)
+        self.owner = np.repeat(np.arange(len(self.n)), self.sizes)
 
-    def __init__(self, rows):
-        self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        self.starts = np.r_[0, np.cumsum(self.sizes)]
-        self.columns = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if len(rows) else np.zeros(0, dtype=np.int64)
+    def scores(self, theta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, theta[self.columns], len(self.n)) + theta[-1]
 
-    def __len__(self):
-        return len(self.sizes)
+    def sums(self, theta: np.ndarray) -> np.ndarray:
+        """Over documents, of the loss of calling them clean and of toxic, and of either loss's gradient: [2 + 2 * len(theta)]."""
+        z = np.clip(self.scores(theta), -30, 30)
+        clean, toxic = 1 / (1 + np.exp(-z)) * self.n, -1 / (1 + np.exp(z)) * self.n
+        gradients = []
+        for push in (clean, toxic):
+            g = np.bincount(self.columns, push[self.owner], len(theta))
+            g[-1] += push.sum()
+            gradients.append(g)
+        return np.concatenate([[np.logaddexp(0, z) @ self.n, np.logaddexp(0, -z) @ self.n], *gradients])
 
-    def take(self, rows):
-        sizes = self.sizes[rows]
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        first = np.repeat(self.starts[rows] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-        return owner, self.columns[first + np.arange(len(owner))]
 
+def fit(width: int, positive: Callable[[np.ndarray], np.ndarray], unlabelled: Callable[[np.ndarray], np.ndarray], total_p: float, total_u: float, prior: float, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:
+    """Weights of ``width`` features and the bias, by Adam on the non-negative PU risk with logistic loss.
 
-def evidence(n_p, n_u, total_p, total_u):
-    """The log-likelihood ratio of a feature seen in n_p of total_p positive and n_u of total_u unlabelled documents; 0 if it speaks against."""
-    n_p, n_u = np.asarray(n_p, dtype=np.float64), np.asarray(n_u, dtype=np.float64)
-    expected = (n_p + n_u) * (total_p / (total_p + total_u))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(n_p > 0, n_p * np.log(n_p / expected), 0) + np.where(n_u > 0, n_u * np.log(n_u / (n_p + n_u - expected)), 0))
-    return np.where((n_p >= 2) & (n_p > expected), ratio, 0.0)
+    positive, unlabelled: from weights to the sums of :meth:`Patterns.sums` over all
+    documents of the kind, wherever they are summed.
+    """
+    size = width + 1
+    theta, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    theta[-1] = math.log(prior / (1 - prior))
+    for step in range(1, steps + 1):
+        p, u = positive(theta) / total_p, unlabelled(theta) / total_u
+        (p_clean, _), p_to_clean, p_to_toxic = p[:2], p[2 : 2 + size], p[2 + size :]
+        corrected, grad = u[0] - prior * p_clean, u[2 : 2 + size] - prior * p_to_clean
+        grad = prior * p_to_toxic + grad if corrected >= 0 else -grad
+        grad = grad + decay * np.r_[theta[:-1], 0]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
+def featured(docs: DataFrame, wanted: np.ndarray | None, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of docs, and ``_features`` of their text; one narrow pass."""
+    columns = list(dict.fromkeys([*columns, "text"]))
+    source = docs.select(*columns)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # at most BUCKETS numbers
 
+    def work(batches):
+        features = Features(shared.value)
+        for batch in slices_by_bytes(batches, "text", 2 << 20):
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), features(batch.column("text"))], names=[*columns, "_features"])
 
-def fit(positive, unlabelled, prior: float, epochs: int = 30, batch: int = 1000, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """(buckets, weights, bias) of a linear model, by Adam on the non-negative PU risk with logistic loss.
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields), "_features array<int>"])
+    return source.mapInArrow(released(work), schema)
 
-    positive, unlabelled: lists of feature arrays. Features that do not set positive
-    documents apart take no part.
-    """
-    rng = np.random.RandomState(seed)
-    bias = math.log(prior / (1 - prior))
-    if not len(positive) or not len(unlabelled):
-        return np.zeros(0, dtype=np.int64), np.zeros(0), bias
-    p, u = _Sparse(positive), _Sparse(unlabelled)
-    seen = np.unique(p.columns)
-    counts = []
-    for rows in (p, u):
-        at = np.searchsorted(seen, rows.columns)
-        known = seen[np.minimum(at, len(seen) - 1)] == rows.columns if len(seen) else np.zeros(len(at), dtype=bool)
-        counts.append(np.bincount(at[known], minlength=len(seen)))
-    chosen = seen[evidence(*counts, len(p), len(u)) >= EVIDENCE]
-    n = len(chosen)
-    theta, m, v, step = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0
-    theta[n] = bias
-
-    def packed(rows: _Sparse):
-        kept = np.searchsorted(chosen, rows.columns)
-        kept = np.where(chosen[np.minimum(kept, n - 1)] == rows.columns, kept, -1) if n else np.full(len(rows.columns), -1)
-        owner = np.repeat(np.arange(len(rows)), rows.sizes)[kept >= 0]
-        out = _Sparse([])
-        out.sizes = np.bincount(owner, minlength=len(rows))
-        out.starts, out.columns = np.r_[0, np.cumsum(out.sizes)], kept[kept >= 0]
-        return out
 
-    p, u = packed(p), packed(u)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    steps = max(1, -(-len(u) // batch))
-    for _ in range(epochs):
-        order = rng.permutation(len(u))
-        for k in range(steps):
-            us = order[k * batch : (k + 1) * batch]
-            ps = rng.randint(0, len(p), min(batch, len(p)))
-            (po, pc), (uo, uc) = p.take(ps), u.take(us)
-            zp = np.bincount(po, theta[pc], len(ps)) + theta[n]
-            zu = np.bincount(uo, theta[uc], len(us)) + theta[n]
-            sp, su = sigmoid(zp), sigmoid(zu)
-            clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gu, gp = su / len(us), -prior * sp / len(ps)  # of the corrected risk of clean text
-            if clean >= 0:
-                gp = gp + prior * (sp - 1) / len(ps)
-            else:
-                gu, gp = -gu, -gp
-            grad = np.bincount(uc, gu[uo], n + 1) + np.bincount(pc, gp[po], n + 1) + decay * np.r_[theta[:n], 0]
-            grad[n] += gu.sum() + gp.sum()
-            step += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return chosen, theta[:n], float(theta[n])
-
-
-def _sample(rows: DataFrame, most: int, salt: int) -> DataFrame:
-    """All rows, or a hash-chosen part of about ``most`` of them."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * most / n))
-
-
-def _telling(sample: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Buckets of a sample (positive boolean, features) with enough evidence, and the numbers of documents of both kinds.
-
-    Tasks count what they read; only buckets that pass reach the driver.
-    """
+def _counted(rows: DataFrame) -> DataFrame:
+    """(bucket, n): in how many rows each feature is; tasks count what they read."""
 
     def work(batches):
-        held = {True: [], False: []}
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            lists, flags = batch.column(1), np.asarray(batch.column(0).to_pylist(), dtype=bool)
-            owner = np.repeat(flags, np.diff(np.asarray(lists.offsets)))
-            flat = lists.flatten().to_numpy()
-            for kind in held:
-                held[kind].append(flat[owner == kind])
-        p, u = (np.concatenate(held[k]) if held[k] else np.zeros(0, np.int32) for k in (True, False))
-        buckets, back = np.unique(np.concatenate([p, u]), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.bincount(back[: len(p)], minlength=len(buckets))), pa.array(np.bincount(back[len(p) :], minlength=len(buckets)))], names=["bucket", "p", "u"])
-
-    total_p, total_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
-    counts = sample.select("positive", "features").mapInArrow(released(work), "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    share = total_p / max(1, total_p + total_u)
-    expected = (F.col("p") + F.col("u")) * share
-    term = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
-    ratio = 2 * (term(F.col("p"), expected) + term(F.col("u"), F.col("p") + F.col("u") - expected))
-    chosen = counts.where((F.col("p") >= 2) & (F.col("p") > expected) & (ratio >= EVIDENCE * 0.999)).select("bucket").toPandas()["bucket"]
-    return np.sort(chosen.to_numpy(dtype=np.int32)), total_p, total_u
-
-
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on confirmed toxic documents outside the held-out fold and on unlabelled text.
-
-    The prior is the share of toxic ones among the learnable labels. The sample is
-    bounded by about ``most_positive`` and ``most_unlabelled`` documents, chosen by a hash
-    of doc_id; documents with equal features count once. Only features with enough
-    evidence, and of each document those that it has of them, reach the driver.
-    """
-    learn = labels.where((fold("doc_id", folds) != held_out) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total, toxic = learn.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
-    prior = min(0.9, max(0.001, toxic / total if total else 0.001))
-    wanted = _sample(learn.where("toxic = 1").select("doc_id"), most_positive, 1)
-    source = docs.select("doc_id", "text")
-    both = source.join(wanted, "doc_id", "left_semi").withColumn("positive", F.lit(True)).unionByName(_sample(source, most_unlabelled, 2).withColumn("positive", F.lit(False)))
-    sample = stored(features(both.select("positive", "text")).withColumn("_h", F.xxhash64("features")).dropDuplicates(["positive", "_h"]).select("positive", "features"))
-    chosen, _, _ = _telling(sample)
+            n = np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            if len(n) > len(total):
+                total = np.r_[total, np.zeros(len(n) - len(total), dtype=np.int64)]
+            total[: len(n)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+
+    return rows.select("_features").mapInArrow(released(work), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def _dense(rows: DataFrame, size: int) -> np.ndarray:
+    found = rows.toPandas()
+    out = np.zeros(size, dtype=np.int64)
+    out[found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return out
+
 
-    def restrict(batches):
+def _patterns(different: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(_features, n): different rows of chosen features (by their places in ``chosen``) with the number of documents."""
+
+    def work(batches):
+        place = np.full(int(chosen[-1]) + 2 if len(chosen) else 1, -1, dtype=np.int32)
+        place[chosen] = np.arange(len(chosen))
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            rows = [np.intersect1d(np.asarray(r, dtype=np.int32), chosen, assume_unique=True) for r in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "features"])
+            lists = batch.column(0)
+            sizes = np.diff(np.asarray(lists.offsets))
+            at = place[np.minimum(lists.flatten().to_numpy(zero_copy_only=False), len(place) - 1)]
+            owner = np.repeat(np.arange(len(sizes)), sizes)[at >= 0]
+            offsets = np.searchsorted(owner, np.arange(len(sizes) + 1))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at[at >= 0])), batch.column(1)], names=["_features", "n"])
+
+    return different.select("_features", "n").mapInArrow(released(work), "_features array<int>, n long").groupBy("_features").agg(F.sum("n").alias("n"))
+
+
+def _here(rows: DataFrame) -> Patterns:
+    found = rows.toPandas()
+    lists = pa.array([list(x) for x in found["_features"]], pa.list_(pa.int32()))
+    return Patterns(lists, found["n"].to_numpy())
 
-    found = sample.mapInArrow(released(restrict), "positive boolean, features array<int>").toPandas()
-    discard(sample)
-    rows, flags = found["features"].tolist(), found["positive"].to_numpy(dtype=bool)
-    return fit([r for r, f in zip(rows, flags) if f], [r for r, f in zip(rows, flags) if not f], prior)
 
+def _in_tasks(rows: DataFrame) -> Callable[[Callable[[Patterns], np.ndarray]], np.ndarray]:
+    """From a function of some patterns to its sum over all rows, added up in tasks that read them from shared storage."""
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text, and the columns ``keep``; one narrow pass.
+    def total(of: Callable[[Patterns], np.ndarray]) -> np.ndarray:
+        def work(batches):
+            found = None
+            for batch in batches:
+                part = of(Patterns(batch.column(0), batch.column(1).to_numpy()))
+                found = part if found is None else found + part
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["k", "x"])
+
+        parts = rows.select("_features", "n").mapInArrow(released(work), "k long, x double").groupBy("k").agg(F.sum("x").alias("x"))
+        return parts.orderBy("k").toPandas()["x"].to_numpy()
+
+    return total
+
+
+def train(rows: DataFrame, positives: DataFrame, width: int, prior: float, in_driver: int = IN_DRIVER) -> np.ndarray:
+    """Weights of features 0 to ``width`` - 1, and the bias last.
+
+    rows: (_features, _h) of all unlabelled documents, positives: the same of the
+    confirmed toxic ones. What features tell is counted over different texts, so that
+    a text with many copies does not make its words telling; the risk counts every row.
+    Where unlabelled documents score as the upper half of the examples do less often
+    than the labels' prior says, a second fit takes the prior that this shows.
+    """
+    different = [stored(x.groupBy("_h").agg(F.first("_features").alias("_features"), F.count("*").alias("n"))) for x in (positives, rows)]
+    (kinds_p, total_p), (kinds_u, total_u) = (d.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first() for d in different)
+    n_p, n_u = (_dense(_counted(d), width) for d in different)
+    chosen = np.flatnonzero(evidence(n_p, n_u, kinds_p, kinds_u) >= EVIDENCE)
+    p, u = (stored(_patterns(d, chosen)) for d in different)
+    out = np.zeros(width + 1)
+    out[-1] = math.log(prior / (1 - prior))
+    if not total_p or not total_u:
+        return out
+    numbers = u.agg(F.coalesce(F.sum(F.size("_features") + 1), F.lit(0))).first()[0]
+    here_p = _here(p)
+    if numbers <= in_driver:
+        here_u = _here(u)
+        over_u = lambda of: of(here_u)
+    else:
+        over_u = _in_tasks(u)
+    theta = None
+    for _ in range(2):
+        theta = fit(len(chosen), here_p.sums, lambda t: over_u(lambda x: x.sums(t)), total_p, total_u, prior)
+        # toxic unlabelled documents score like the examples: no more of them than this can be toxic
+        scores = here_p.scores(theta)
+        middle = float(np.sort(scores)[np.searchsorted(np.cumsum(here_p.n[np.argsort(scores)]), total_p / 2)])
+        above = float(over_u(lambda x: np.array([x.n[x.scores(theta) >= middle].sum()]))[0]) / total_u
+        prior = min(prior, above / (here_p.n[scores >= middle].sum() / total_p))
+    out[chosen], out[-1] = theta[:-1], theta[-1]
+    return out
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = (), threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2, most_positive: int = MOST_POSITIVE, in_driver: int = IN_DRIVER) -> DataFrame:
+    """doc_id, held_out, score, predicted of every whole text, and the columns ``keep``.
+
+    The examples are documents that are labelled toxic outside the held-out fold, at
+    most about ``most_positive`` of them, chosen by a hash of doc_id. The prior is the
+    share of toxic ones among the learnable labels. Only what at least two examples
+    have can be a feature; one pass over all texts writes those of each document, and
+    learning from all of them and scoring read that table.
 
     A null or empty text has the score of a text without known words. Null ids and
-    repeated rows are kept, an empty table gives an empty result.
+    repeated rows are kept and count each; documents labelled twice count by their
+    highest label; without toxic labels all scores are equal and low. An empty table
+    gives an empty result. Columns of docs other than doc_id, text and ``keep``, and of
+    labels other than doc_id and toxic, are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = list(keep)
+    learn = labels.where((fold("doc_id", folds) != held_out) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total, toxic = learn.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
+    prior = min(0.9, max(0.001, toxic / total if total else 0.001))
+    examples = learn.where("toxic = 1").select("doc_id")
+    if toxic > most_positive:
+        examples = examples.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * most_positive / toxic))
+    source = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    confirmed = source.select("doc_id", "text", "_h").join(F.broadcast(examples), "doc_id", "left_semi").dropDuplicates(["_h"])  # about most_positive ids
+    n = stored(_counted(featured(confirmed, None, ["_h"]))).where("n > 1").toPandas()
+    wanted = np.sort(n["bucket"].to_numpy(dtype=np.int32))
+    columns = ["doc_id", *(c for c in keep if c != "doc_id"), "_h"]
+    rows = featured(source, wanted, columns)
+    rows = stored(rows if "text" in keep else rows.drop("text"))
+    theta = train(rows.select("_h", "_features"), rows.select("doc_id", "_h", "_features").join(F.broadcast(examples), "doc_id", "left_semi"), len(wanted), prior, in_driver)
+    shared = docs.sparkSession.sparkContext.broadcast(theta)
 
     def work(batches):
-        at, values, bias = shared.value
-        known = dict(zip(at.tolist(), values.tolist()))
-        # a bucket matters if it has a weight itself or if one of its levels has
-        telling = lambda b: b in known or any((b * 31 + level) % BUCKETS in known for level in LEVELS)
-        memo = Memo(lambda piece: tuple((r, found) for r in runs_of(piece) if (found := tuple(filter(telling, buckets_of(r))))), 100_000)
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
-            out = []
-            for text in texts_of(batch):
-                hit = dict(pair for found in set(map(memo.__getitem__, set(text.split()))) for pair in found)
-                total = math.fsum(known.get(b, 0.0) for b in with_levels(b for found in hit.values() for b in found)) if hit else 0.0
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + total)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64()), *map(batch.column, keep)], names=["doc_id", "held_out", "score", *keep])
-
-    source = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text", *(c for c in keep if c != "text"))
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    columns = f"doc_id {kinds['doc_id']}, held_out boolean, score double" + "".join(f", `{c}` {kinds[c]}" for c in keep)
-    return source.mapInArrow(released(work), columns).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Train, then score every document: doc_id, held_out, score, predicted, and the columns ``keep``."""
-    return scored(docs, train(docs, labels), keep=keep)
+        theta = shared.value
+        for batch in batches:
+            lists = batch.column("_features")
+            z = Patterns(lists, np.ones(batch.num_rows)).scores(theta)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns[:-1]), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*columns[:-1], "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out = rows.select(*columns[:-1], "_features").mapInArrow(released(work), ", ".join(f"`{c}` {kinds[c]}" for c in columns[:-1]) + ", score double")
+    flags = ((fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", *flags, *(c for c in keep if c != "doc_id"))

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from gridweave.llm import chat_format, exact_topk, fingerprints, jaccard_join, packing, queries, source_mix, tokenizer
+from gridweave.llm import chat_format, exact_topk, fingerprints, jaccard_join, packing, queries, source_mix, tokenizer, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
@@ -141,9 +142,9 @@ def family(rng, base, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("small", [256, 8])
-def test_jaccard_join_against_all_pairs(spark, monkeypatch, small):
-    """small=8 sends groups through all levels of paths; blocks of 12 sets split the clusters."""
+@pytest.mark.parametrize(("small", "most"), [(256, 500_000), (8, 500_000), (4, 0)])
+def test_jaccard_join_against_all_pairs(spark, monkeypatch, small, most):
+    """small=8 sends groups through all levels of paths; blocks of 12 sets split the clusters; most=0 deals hot paths over salts."""
     rng = random.Random(5)
     passage = [f"p{k}" for k in range(30)]
     texts = []
@@ -155,6 +156,7 @@ def test_jaccard_join_against_all_pairs(spark, monkeypatch, small):
     rows = list(enumerate(texts))
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 12)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
     monkeypatch.setattr(jaccard_join.candidate_links, "__defaults__", (0.8, 0.999, 3, small))
     found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == brute_classes(rows)
@@ -261,3 +263,45 @@ def test_toxic_documents_are_found(spark):
 def test_quality_is_ranked(spark):
     test, _ = held_out(spark, queries.op10_quality(spark, SMALL).toPandas(), "quality")
     assert (test["predicted"] == test["quality"]).mean() > 0.9
+
+
+def plain_features(text):
+    """The wanted features by their definition, one word at a time."""
+    counts = collections.Counter(b for run in {r for p in (text or "").split() for r in toxicity._RUN.findall(p.lower())} for b in toxicity.buckets_of(run))
+    further = {(b * 31 + level) % toxicity.BUCKETS for b, n in counts.items() for level in toxicity.LEVELS if n >= level}
+    return sorted({*counts, *further})
+
+
+def test_toxicity_features_are_as_defined(documents):
+    texts = [*documents["text"].tolist()[:80], "", None, " a b ", "One, one. ONE"]
+    found = toxicity.Features()(pa.array(texts)).to_pylist()
+    assert found == [plain_features(t) for t in texts]
+    wanted = np.unique(np.concatenate([np.array(f, dtype=np.int32) for f in found]))[::3]
+    some = toxicity.Features(wanted, memo=500)
+    for k in range(0, len(texts), 7):
+        for row, f in zip(some(pa.array(texts[k : k + 7])).to_pylist(), found[k : k + 7]):
+            assert wanted[row].tolist() == sorted(set(f) & set(wanted.tolist()))
+
+
+def test_the_risk_is_the_non_negative_pu_risk():
+    rng = np.random.RandomState(1)
+    rows = [sorted(rng.choice(5, rng.randint(0, 4), replace=False).tolist()) for _ in range(30)]
+    n = rng.randint(1, 4, 30)
+    patterns = toxicity.Patterns(pa.array(rows, pa.list_(pa.int32())), n)
+    theta = rng.randn(6)
+    found = patterns.sums(theta)
+    z = np.array([theta[r].sum() + theta[5] for r in rows])
+    assert found[0] == pytest.approx((n * np.log1p(np.exp(z))).sum()) and found[1] == pytest.approx((n * np.log1p(np.exp(-z))).sum())
+    for k in range(6):  # the gradients are those of the losses
+        moved = theta.copy()
+        moved[k] += 1e-6
+        assert (patterns.sums(moved)[:2] - found[:2]) / 1e-6 == pytest.approx([found[2 + k], found[8 + k]], abs=1e-3)
+
+
+def test_learning_in_tasks_equals_learning_in_the_driver(spark, monkeypatch):
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: real(*a, steps=8))
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.limit(400)
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, in_driver=k).collect()} for k in (10**9, 0))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
