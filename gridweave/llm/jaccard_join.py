@@ -2,8 +2,9 @@
 
 Documents are sets of word shingles. A set's path grows by one shared token at a
 time: at each level all sets of a bucket that is still large split on the same
-sampled minhash token, so that two sets stay together with probability equal to
-their similarity. Small buckets are compared by brute force on sketches, and the
+sampled minhash tokens (one, or two and so two buckets each), so that two sets stay
+together by each with probability equal to their similarity. Small buckets are
+compared by brute force on sketches, and the
 whole is repeated with other tokens until two sets at the threshold meet with the
 target probability. What the buckets bring together forms clusters of candidates;
 inside each cluster every pair of different sets is then compared exactly, in
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import Memo, released, slices_by_bytes, texts_of
+from gridweave.llm.common import Memo, released, slices_by_bytes, words_in
 from gridweave.operators.components import connected_components
-from gridweave.session import discard, stored
+from gridweave.session import discard, stored, stored_alone
 
 WORDS, THRESHOLD = 5, 0.8
 #: Minhash values of a sketch.
@@ -35,8 +36,8 @@ LEVELS, RECALL = 3, 0.999
 MARGIN = 0.2
 #: Sets, and shingles, of one block of an exact comparison.
 BLOCK_SETS, BLOCK_SHINGLES = 400, 600_000
-#: More rows than this are not broadcast.
-BROADCAST_ROWS = 500_000
+#: More rows than this are not broadcast; a hot path's rows then go to so many places.
+BROADCAST_ROWS, SALT = 500_000, 16
 
 
 def runs_for(recall: float, threshold: float = THRESHOLD, levels: int = LEVELS) -> int:
@@ -54,9 +55,17 @@ def word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
 
 
-def shingles(text: str, memo, width: int = WORDS) -> np.ndarray:
-    """The set of hashed word shingles, ascending. Fewer words than ``width`` make one shingle, none make none."""
-    words = np.array(list(map(memo.__getitem__, text.split())), dtype=np.uint64)
+def shingle_sets(texts: pa.Array, memo, width: int = WORDS) -> list[np.ndarray]:
+    """:func:`shingles` of each text."""
+    owner, code, distinct = words_in(texts)
+    hashes = np.fromiter(map(memo.__getitem__, distinct), dtype=np.uint64, count=len(distinct))
+    words = hashes[code] if len(code) else hashes[:0]
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [shingles(words[a:b], width) for a, b in zip(ends, ends[1:])]
+
+
+def shingles(words: np.ndarray, width: int = WORDS) -> np.ndarray:
+    """The set of hashed shingles of a text's hashed words, ascending. Fewer words than ``width`` make one shingle, none make none."""
     if not len(words):
         return words
     n = max(1, len(words) - width + 1)
@@ -87,7 +96,7 @@ def sketch_table(docs: DataFrame, width: int = WORDS) -> DataFrame:
     def work(batches):
         memo = Memo(word_hash, 120_000)
         for batch in slices_by_bytes(batches, "text", 4 << 20):
-            sets = [shingles(t, memo, width) for t in texts_of(batch)]
+            sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), memo, width)
             nodes = list(map(set_key, sets))
             values = pa.FixedSizeListArray.from_arrays(pa.array(sketches(sets).view(np.int32).ravel()), SKETCH).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), values], names=["doc_id", "node", "size", "sketch"])
@@ -161,37 +170,68 @@ def _candidates(threshold: float):
     return work
 
 
+def _split(rows: DataFrame, large: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of small buckets, and of large ones.
+
+    What is known of a path goes to its rows by broadcast, or, if there are more
+    large buckets than BROADCAST_ROWS, in SALT copies to rows dealt at random over
+    them, so that no task gets a whole bucket.
+    """
+    if count <= BROADCAST_ROWS:
+        marks = F.broadcast(large.select(F.col("path").alias("_path")))
+        on = F.col("path") == F.col("_path")
+    else:
+        marks = large.select(F.col("path").alias("_path"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+        on = (F.col("path") == F.col("_path")) & (F.pmod(F.xxhash64("node"), F.lit(SALT)) == F.col("_salt"))
+    marked = rows.join(marks, on, "left")
+    return marked.where("_path is null").select("path", "node"), marked.where("_path is not null").select("path", "node")
+
+
 def candidate_links(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
     """(a, b): links that join all candidate pairs into clusters. nodes: (node, size, sketch), one row per different set.
 
-    All runs go side by side. Level by level, buckets of one set end, those of at
-    most ``small`` sets are compared, and the sets of larger ones split again; what
-    is still large after the last level (sets that agree in ``levels`` random tokens)
-    becomes one cluster as it is.
+    All runs go side by side. Level by level, buckets of at most ``small`` sets are
+    compared, and the sets of larger ones are split on sampled tokens: on one token
+    of each set, and for 1 / threshold - 1 of the buckets on a second one as well, so
+    that two sets at the threshold stay together in one bucket a level on average,
+    however deep it goes. What is still large after the last level (sets that agree
+    in ``levels`` random tokens) becomes one cluster as it is.
     """
     runs = runs_for(recall, threshold, levels)
-    token = lambda at: F.element_at("sketch", at)
+    token = lambda at: F.element_at("sketch", F.pmod(at, F.lit(SKETCH)).cast("int") + 1)
     live = nodes.where("size > 0").select("node", "size", "sketch")
     # the first level: run r takes the r-th token of each set
-    rows = live.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r, token(F.pmod(r - 1, F.lit(SKETCH)) + 1)))).alias("path"))
+    rows = live.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(r, token(r)))).alias("path"))
     found, kept = None, []
     for level in range(1, levels + 1):
-        counts = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        sized = stored(rows.join(counts, "path").select("path", "node", "n"))
-        kept.append(sized)
-        few = sized.where(F.col("n") <= small).select("path", "node").join(live, "node").select("path", "node", "size", "sketch")
-        links = few.repartition("path").sortWithinPartitions("path", "node").mapInArrow(released(_candidates(threshold)), "a long, b long")
+        rows = stored(rows)
+        counts = stored(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        kept += [rows, counts]
+        large = counts.where(F.col("n") > small)  # at most len(rows) / small of them
+        n = large.count()
+        few, many = _split(rows, large, n)
+        # buckets of one set end here; of any other that is not large, at most ``small`` sets meet in one task
+        few = few.join(counts.where(F.col("n") <= small).select("path"), "path", "left_semi")
+        links = few.join(live, "node").select("path", "node", "size", "sketch").repartition("path").sortWithinPartitions("path", "node").mapInArrow(released(_candidates(threshold)), "a long, b long")
         found = links if found is None else found.unionByName(links)
-        many = sized.where(F.col("n") > small)
-        if many.limit(1).count() == 0:
+        if not n:
             break
         if level == levels:
             low = many.groupBy("path").agg(F.min("node").alias("b"))
-            found = found.unionByName(many.join(low, "path").select(F.col("node").alias("a"), "b"))
+            least = low.select(F.col("path").alias("_path"), "b")
+            on = F.col("path") == F.col("_path")
+            if n <= BROADCAST_ROWS:
+                least = F.broadcast(least)
+            else:
+                least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+                on = on & (F.pmod(F.xxhash64("node"), F.lit(SALT)) == F.col("_salt"))
+            found = found.unionByName(many.join(least, on).select(F.col("node").alias("a"), "b"))
             break
-        # the next token is the same for all sets of a bucket
-        split = many.select("path", "node").join(live.select("node", "sketch"), "node")
-        rows = split.select("node", F.xxhash64("path", F.lit(level), token(F.pmod(F.xxhash64("path", F.lit(-level)), F.lit(SKETCH)).cast("int") + 1)).alias("path"))
+        # the next tokens are the same for all sets of a bucket
+        split = many.join(live.select("node", "sketch"), "node")
+        twice = F.pmod(F.xxhash64("path", F.lit(100 + level)), F.lit(1000)) < int(1000 * (1 / threshold - 1))
+        ways = F.when(twice, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        rows = split.select("node", F.explode(F.transform(ways, lambda w: F.xxhash64("path", F.lit(level), w, token(F.xxhash64("path", F.lit(-level), w))))).alias("path"))
     out = stored(found.distinct())
     for t in kept:
         discard(t)
@@ -212,7 +252,7 @@ def _sets_of(docs: DataFrame, width: int) -> DataFrame:
     def work(batches):
         memo = Memo(word_hash, 120_000)
         for batch in slices_by_bytes(batches, "text", 4 << 20):
-            sets = [shingles(t, memo, width) for t in texts_of(batch)]
+            sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), memo, width)
             right = pa.array([set_key(s) == n for s, n in zip(sets, batch.column(1).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "node", "copies", "blocks", "shingles"]).filter(right)
 
@@ -313,10 +353,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WOR
         .groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     )
-    links = candidate_links(nodes, threshold, recall)
-    clusters = stored(connected_components(links))
-    exact = stored(exact_links(docs, clusters, nodes, threshold, width))
-    classes = stored(connected_components(exact.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    clusters = stored_alone(lambda: connected_components(candidate_links(nodes, threshold, recall)))
+    exact = stored_alone(lambda: exact_links(docs, clusters, nodes, threshold, width))
+    discard(clusters)
+    classes = stored_alone(lambda: connected_components(exact.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.join(nodes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     near = named.join(least, "component").select("node", "class_id").join(exact.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
