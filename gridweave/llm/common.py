@@ -50,14 +50,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def words_in(texts: pa.Array, split=pc.utf8_split_whitespace) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(owner, code, distinct): of each word the text that it is in and its place among the ``distinct`` words.
 
-    Words are what white space separates, by the same rule as ``str.split``; null is
-    the empty text. Splitting and telling words apart happen in Arrow, so only
+    Words are what white space separates, by the same rule as ``str.split`` unless
+    another ``split`` is given; null is the empty text. Splitting and telling words apart happen in Arrow, so only
     distinct words become Python strings.
     """
-    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    lists = split(pc.fill_null(texts, ""))
     owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     encoded = lists.flatten().dictionary_encode()
     code, distinct = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import released, slices_by_bytes, texts_of
+from gridweave.llm.common import released, slices_by_bytes
 from gridweave.llm.tokenizer import word_bpe
 
 #: Bytes of text in one batch of the encoder, whatever the number of rows.
@@ -20,7 +19,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
 
     One narrow pass over two columns: Arrow batches are cut by bytes, so a batch of
     very long texts is as large as one of many short ones, and a long text is
-    encoded in parts that start at white space, where the tokenizer cuts anyway.
+    encoded in parts that start at white space, where the tokenizer cuts anyway. Within
+    a batch the library encodes batches of distinct pieces, balanced by characters.
     A null or empty text has 0 bytes and 0 tokens; a null id is kept; repeated rows
     are counted each; an empty table gives an empty result; other columns are not
     read. Returns (id, n_bytes, n_tokens, over_limit).
@@ -29,8 +29,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     def count(batches):
         encoder = word_bpe(tokenizer_path)
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
-            texts = texts_of(batch)
-            tokens = np.fromiter(map(encoder.count, texts), dtype=np.int64, count=len(texts))
+            tokens = encoder.counts(batch.column(1))
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
