@@ -14,63 +14,86 @@ from gridweave.session import stored
 
 #: Rows of a block of queries and of a block of candidates; a task compares one with one.
 QUERY_BLOCK, CANDIDATE_BLOCK = 4_096, 16_384
+#: Queries and rows that are compared at once inside a task.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 256, 1_024
 #: Resolutions, coarse to fine: segments per vector.
 SEGMENTS = (1, 4, 16)
 
 
-def _segments(rows: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segment lengths, means, and deviations (root of the summed squares about the mean, over root length)."""
+def _statistics(rows: np.ndarray, pieces: int) -> np.ndarray:
+    """Means and deviations of each segment, times the root of its length.
+
+    The squared distance of two vectors is, segment by segment, at least the length
+    times the squared differences of means and of deviations; so the inner product of
+    two vectors is at most that of their statistics.
+    """
     edges = np.linspace(0, rows.shape[1], min(pieces, max(1, rows.shape[1])) + 1).astype(int)
-    lengths = np.diff(edges).astype(np.float64)
-    mean = np.stack([rows[:, a:b].mean(axis=1) for a, b in zip(edges, edges[1:])], axis=1)
-    deviation = np.stack([rows[:, a:b].std(axis=1) for a, b in zip(edges, edges[1:])], axis=1)
-    return lengths, mean, deviation
+    parts = [rows[:, a:b] for a, b in zip(edges, edges[1:])]
+    roots = np.sqrt(np.diff(edges))
+    return np.concatenate([np.stack([f(x) * r for x, r in zip(parts, roots)], axis=1) for f in (lambda x: x.mean(axis=1), lambda x: x.std(axis=1))], axis=1)
 
 
 def top_k_block(query_ids, queries, ids, rows, k: int):
     """(query id, id, score) of the k best rows for each query, exact, ties to the smaller id.
 
-    The squared distance of two vectors is, segment by segment, at least the length
-    times the squared differences of means and of deviations. With the norms that
-    bounds the inner product from above. Bounds are taken coarse to fine; a row is
-    dropped as soon as its bound is below the k-th best score that is already certain.
-    Scores are exact integers.
+    Rows are ordered by their norm, longest first, and met in slices, so that the k-th
+    best score known so far rises early. A slice is left out for the queries that its
+    longest row and its range of means cannot satisfy; of the others, each resolution
+    only looks at rows that the coarser ones left for some query, and the exact
+    integer products are formed for the survivors.
     """
     if not len(queries) or not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
+    norms = np.einsum("ij,ij->i", rows.astype(np.float64), rows.astype(np.float64))
+    order = np.lexsort((ids, -norms))
+    ids, rows, norms = ids[order], rows[order], np.sqrt(norms[order])
     width = max(queries.shape[1], 1)
     large = max(1.0, float(np.abs(queries).max(initial=0))) * max(1.0, float(np.abs(rows).max(initial=0))) * width
     exact = np.float64 if large < 2**52 else np.int64
+    least = -(2.0**62) if exact is np.float64 else np.iinfo(np.int64).min
     q, r = queries.astype(exact), rows.astype(exact)
-    stats = [(_segments(queries.astype(np.float64), s), _segments(rows.astype(np.float64), s)) for s in SEGMENTS]
-    norm_q, norm_r = (np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64)) for x in (queries, rows))
-    first = np.argsort(-norm_r, kind="stable")[: 4 * k + 1]  # any rows will do for a first certain k-th best
+    stats_q, stats_r = ([_statistics(x.astype(np.float64), s) for s in SEGMENTS] for x in (queries, rows))
+    norm_q = np.sqrt(np.einsum("ij,ij->i", queries.astype(np.float64), queries.astype(np.float64)))
     out_q, out_i, out_s = [], [], []
-    for a in range(0, len(queries), 64):
-        b = min(len(queries), a + 64)
-        certain = q[a:b] @ r[first].T
-        own = query_ids[a:b, None] == ids[first][None, :]
-        least = np.iinfo(np.int64).min if exact is np.int64 else -np.inf
-        ranked = np.sort(np.where(own, least, certain), axis=1)[:, ::-1]
-        floor = ranked[:, k - 1] if ranked.shape[1] >= k else np.full(b - a, least)
-        alive = np.ones((b - a, len(rows)), dtype=bool)
-        for (length, mq, dq), (_, mr, dr) in stats:
-            # distance >= sum of length * ((mq - mr)^2 + (dq - dr)^2), so q.r <= (|q|^2 + |r|^2 - that) / 2
-            wq = np.concatenate([mq[a:b], dq[a:b]], axis=1) * np.sqrt(np.r_[length, length])
-            wr = np.concatenate([mr, dr], axis=1) * np.sqrt(np.r_[length, length])
-            apart = np.maximum(0, (wq * wq).sum(axis=1)[:, None] + (wr * wr).sum(axis=1)[None, :] - 2 * wq @ wr.T)
-            bound = (norm_q[a:b, None] + norm_r[None, :] - apart) / 2
-            alive &= bound * (1 + 1e-12) + 1e-6 * (1 + norm_q[a:b, None] + norm_r[None, :]) >= floor[:, None]
-        alive &= query_ids[a:b, None] != ids[None, :]
-        for k_, live in enumerate(alive):
-            at = np.flatnonzero(live)
-            scores = (r[at] @ q[a + k_]).astype(np.int64)
-            best = np.lexsort((ids[at], -scores))[:k]
-            out_q.append(np.full(len(best), query_ids[a + k_]))
-            out_i.append(ids[at][best])
-            out_s.append(scores[best])
+    for a in range(0, len(queries), QUERIES_AT_ONCE):
+        own = np.arange(a, min(len(queries), a + QUERIES_AT_ONCE))
+        best = np.full((len(own), k), least, dtype=exact)
+        floor = best.min(axis=1)
+        found = []
+        for c in range(0, len(rows), ROWS_AT_ONCE):
+            d = min(len(rows), c + ROWS_AT_ONCE)
+            slack = 1e-9 * (1 + norm_q[own] * norms[c])
+            mean, spread = stats_r[0][c:d, 0], stats_r[0][c:d, 1]
+            most = np.maximum(stats_q[0][own, 0] * mean.min(), stats_q[0][own, 0] * mean.max()) + stats_q[0][own, 1] * spread.max()
+            live = np.flatnonzero(most + slack >= floor)
+            at = np.arange(c, d)
+            for fine_q, fine_r in zip(stats_q, stats_r):
+                if not len(live) or not len(at):
+                    break
+                alive = fine_q[own[live]] @ fine_r[at].T + slack[live, None] >= floor[live, None]
+                live, at = live[alive.any(axis=1)], at[alive.any(axis=0)]
+            if not len(live) or not len(at):
+                continue
+            scores = q[own[live]] @ r[at].T
+            scores = np.where(query_ids[own[live], None] == ids[None, at], least, scores)
+            near = scores >= np.maximum(floor[live, None], least + 1 if exact is np.int64 else least / 2)
+            x, y = np.nonzero(near)
+            found.append((live[x], ids[at[y]], scores[x, y]))
+            both = np.concatenate([best[live], scores], axis=1)
+            best[live] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            floor[live] = best[live].min(axis=1)
+        if not found:
+            continue
+        asks, named, scores = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((named, -scores, asks))
+        asks, named, scores = asks[order], named[order], scores[order]
+        rank = np.arange(len(asks)) - np.searchsorted(asks, asks)
+        top = rank < k
+        out_q.append(query_ids[own[asks[top]]])
+        out_i.append(named[top])
+        out_s.append(scores[top])
+    if not out_q:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return (np.concatenate(x).astype(np.int64) for x in (out_q, out_i, out_s))
 
 
@@ -95,7 +118,8 @@ def exact_top_k(vectors: DataFrame, k: int = 20, modulus: int = 20, scale: int =
     Vectors that are null or hold null or non-finite components take no part, nor do
     rows without id; shorter vectors count as filled up with zeros; fewer than k
     candidates give as many rows; rows that repeat an id are candidates each (not of
-    their own id). An empty table gives an empty result.
+    their own id), and a query's id that is repeated asks once, with its least vector.
+    An empty table gives an empty result; other columns are not read.
     """
     x = F.col(vector_col)
     usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
