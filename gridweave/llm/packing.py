@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -97,34 +98,30 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
 
 def _merge(bins: DataFrame, capacity: int) -> DataFrame:
-    """One round: (bin, fill, part) to (bin, fill, into, shift, total), each part packed by best fit."""
+    """One round: (bin, fill, part) to (bin, fill, into, shift, total), each part of about GROUP bins packed by best fit."""
 
-    def work(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, f, p in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held.setdefault(p, []).append((b, f))
-        for rows in held.values():
-            rows.sort()
-            ids, fills = (np.array(c, dtype=np.int64) for c in zip(*rows))
-            into, shift = best_fit(fills, capacity)
-            first = np.zeros(into.max() + 1, dtype=np.int64)
-            first[into[shift == 0]] = ids[shift == 0]
-            total = np.bincount(into, fills).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, fills, first[into], shift, total[into])], names=["bin", "fill", "into", "shift", "total"])
-
-    return bins.select("bin", "fill", "part").repartition("part").mapInArrow(released(work), "bin long, fill long, into long, shift long, total long")
-
-
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds: int = 4, gain: float = 0.001) -> DataFrame:
+    def work(part: pa.Table) -> pa.Table:
+        ids, fills = (part.column(c).to_numpy() for c in ("bin", "fill"))
+        order = np.argsort(ids)
+        ids, fills = ids[order], fills[order]
+        into, shift = best_fit(fills, capacity)
+        first = np.zeros(into.max() + 1, dtype=np.int64)
+        first[into[shift == 0]] = ids[shift == 0]
+        total = np.bincount(into, fills).astype(np.int64)
+        return pa.table([pa.array(x) for x in (ids, fills, first[into], shift, total[into])], names=["bin", "fill", "into", "shift", "total"])
+
+    return bins.select("bin", "fill", "part").groupBy("part").applyInArrow(work, "bin long, fill long, into long, shift long, total long")
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, gain: float = 0.001) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     A document is its ids and one end id 0. Workers cut the longer ones, pack what
     they read by best-fit decreasing, and write one small row per piece (the shared
     folder keeps it: bins do not change when a task is run again). Bins with at most
     SLACK tokens of room are done; the others are items of the next round, dealt out
-    anew into groups of about GROUP bins, until a round has one group, leaves no
-    fewer bins than ``gain`` of them, or the rounds are over. A merged bin takes the
+    anew into groups of about GROUP bins, until all open bins were one group or a
+    round spared less than the share ``gain`` of them. A merged bin takes the
     id of its first part and places the others behind it, so offsets stay gapless.
     The rounds move bins, not pieces; the pieces meet the final places in one join.
 
@@ -136,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds:
     open_bins = local.where((F.col("offset") == 0) & (F.col("fill") < capacity - SLACK)).select("bin", "fill")
     n = open_bins.count()
     placed = None  # bin of the first round -> its bin now, and where it starts there
-    for turn in range(rounds):
+    for turn in itertools.count():
         if n < 2:
             break
         parts = -(-n // GROUP)
