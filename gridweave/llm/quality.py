@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import fold, released, slices_by_bytes, texts_of
-from gridweave.session import stored
+from gridweave.llm.common import Memo, fold, released, slices_by_bytes, texts_of, words_in
+from gridweave.session import discard, stored
 
 #: The sample that a model is fitted on holds about so many labelled documents at most; pairs are drawn from it.
 MOST_LABELLED, PAIRS = 20_000, 200_000
@@ -28,15 +28,19 @@ _DIGIT = re.compile(r"[0-9]")
 FEATURES = (
     "log_words", "word_length", "distinct", "top_word", "repeats", "symbols", "upper", "digits",
     "stops", "commas", "lines", "distinct_lines", "line_words", "squeezed", "longest", "single",
+    # what the words are, by how many documents of the corpus have them
+    "known", "rare", "common", "common_kinds", "pairs",
 )
+#: Words fall into so many buckets when documents are counted; so many of the fullest hold the common words.
+WORD_BUCKETS, COMMON = 1 << 18, 256
 
 
 def describe(text: str) -> list[float]:
-    """The features of a whole text; all 0 for an empty one."""
+    """The features of a whole text that need no corpus; all 0 for an empty one."""
     words = text.split()
     n, size = len(words), len(text)
     if not n:
-        return [0.0] * len(FEATURES)
+        return [0.0] * SURFACE
     counts = Counter(words)
     lines = [line for line in text.split("\n") if line.strip()]
     repeats = sum(map(str.__eq__, words, words[1:]))
@@ -62,12 +66,63 @@ def describe(text: str) -> list[float]:
     ]
 
 
+#: Features that :func:`describe` gives; the others come from :func:`content`.
+SURFACE = 16
+
+
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
+
+
+def document_counts(docs: DataFrame) -> np.ndarray:
+    """[bucket]: in how many documents words of the bucket are, counted over the whole corpus; of fixed size."""
+
+    def work(batches):
+        memo, total = Memo(_bucket, 200_000), np.zeros(WORD_BUCKETS, dtype=np.int64)
+        for batch in slices_by_bytes(batches, "text", 4 << 20):
+            owner, code, distinct = words_in(batch.column(0))
+            buckets = np.fromiter(map(memo.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            total += np.bincount(np.unique(owner * WORD_BUCKETS + buckets[code]) % WORD_BUCKETS, minlength=WORD_BUCKETS) if len(code) else 0
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    found = docs.select("text").mapInArrow(released(work), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(WORD_BUCKETS, dtype=np.int64)
+    out[found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def content(texts: pa.Array, counts: np.ndarray, memo) -> np.ndarray:
+    """[text, 5]: mean log share of documents that have the words; shares of rare and of common words; kinds of common words; different pairs of neighbours."""
+    owner, code, distinct = words_in(texts)
+    n, out = len(texts), np.zeros((len(texts), 5))
+    if not len(code):
+        return out
+    buckets = np.fromiter(map(memo.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+    many = np.sort(counts)[-COMMON]
+    words = np.maximum(np.bincount(owner, minlength=n), 1)
+    have = counts[buckets]
+    out[:, 0] = np.bincount(owner, np.log(np.maximum(have, 1) / max(1, counts.max()))[code], n) / words
+    out[:, 1] = np.bincount(owner, (have <= 1)[code], n) / words
+    common = (have >= max(2, many))[code]
+    out[:, 2] = np.bincount(owner, common, n) / words
+    kinds = np.unique(owner[common] * WORD_BUCKETS + buckets[code[common]]) // WORD_BUCKETS
+    out[:, 3] = np.log1p(np.bincount(kinds, minlength=n))
+    follow = owner[1:] == owner[:-1]
+    pairs = np.unique(np.stack([owner[1:][follow], code[:-1][follow].astype(np.int64) * len(distinct) + code[1:][follow]]), axis=1)[0] if follow.any() else owner[:0]
+    out[:, 4] = np.bincount(pairs, minlength=n) / np.maximum(words - 1, 1)
+    return out
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, features (array<float>) of every whole text; null texts are empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(document_counts(docs))
 
     def work(batches):
+        memo = Memo(_bucket, 200_000)
         for batch in slices_by_bytes(batches, "text", 4 << 20):
-            found = np.array([describe(t) for t in texts_of(batch)], dtype=np.float32)
+            surface = np.array([describe(t) for t in texts_of(batch)], dtype=np.float32)
+            found = np.concatenate([surface, content(batch.column(1), shared.value, memo).astype(np.float32)], axis=1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "features"])
 
@@ -105,7 +160,6 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, epochs: int = 40,
         return ranker
     a, b = ranker.steps(good), ranker.steps(bad)
     offset = np.arange(len(FEATURES)) * STEPS
-    pairs = min(pairs, 50 * len(everything))
     one, two = a[rng.randint(0, len(a), pairs)] + offset, b[rng.randint(0, len(b), pairs)] + offset
     n = len(FEATURES) * STEPS
     theta, m, v, turn, batch = np.zeros(n), np.zeros(n), np.zeros(n), 0, 4000
@@ -120,15 +174,13 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, epochs: int = 40,
             turn += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             theta -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
-        if pairs <= batch and turn > 400:
-            break
     return Ranker(edges, theta.reshape(len(FEATURES), STEPS))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5, held_out: int = 0, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text.
 
-    One pass over the texts writes 16 numbers per document; learning and scoring
+    One pass over the texts counts the documents of words, a second writes 21 numbers per document; learning and scoring
     read those. The pairs come from a hash-chosen sample of at most about
     ``most_labelled`` documents with a learnable label. The raw scores are cut at
     the quantile that leaves above it the share of good documents among the
@@ -159,6 +211,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fo
 
     kind = described.schema["doc_id"].dataType.simpleString()
     raw = stored(described.mapInArrow(released(work), f"doc_id {kind}, raw double"))
+    discard(described)
     share = good / total if total else 0.5
     spread = raw.agg(F.percentile_approx("raw", F.array(F.lit(1 - share), F.lit(0.05), F.lit(0.95)), 10_000).alias("q")).first()["q"]
     at, low, high = spread if spread else (0.0, 0.0, 1.0)
