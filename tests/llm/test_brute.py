@@ -1,6 +1,7 @@
 """Operators against plain versions on small fixtures and on the smallest data."""
 
 import collections
+import itertools
 import random
 import zlib
 
@@ -230,23 +231,54 @@ def test_transcripts_with_markers():
     assert chat_format.render("user", " a <|end|> b ").count("<|end|>") == 1
 
 
-def test_viterbi_blocks_equal_one_run(spark, monkeypatch):
+def test_viterbi_finds_the_best_of_all_paths():
+    model = chat_format.Hmm()
+    texts = ["Hi?", "Hello there.\n\nAnd more.\nUser: stop", "ok"]
+    lines = [chat_format.lines_of(t, True) for t in texts]
+    scores = np.concatenate([model.scores(own, True) for own in lines])
+    n = scores.shape[1]
+    value = lambda path: model.first[path[0]] + sum(scores[t, k] for t, k in enumerate(path)) + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+    best = max(itertools.product(range(n), repeat=len(scores)), key=value)
+    found = chat_format.viterbi(scores, model.step, model.first)
+    assert value(found) == pytest.approx(value(best)) and found.tolist() == list(best)
+    # chunks joined by their matrices end in the same states
+    cuts = [scores[:1], scores[1:4], scores[4:]]
+    parts = [chat_format.through(c, model.step) for c in cuts]
+    assert chat_format.ends(parts, model.step, model.first) == [(found[0], found[0]), (found[1], found[3]), (found[4], found[-1])]
+    assert chat_format.chained(parts, model.step) == pytest.approx(chat_format.through(scores, model.step))
+
+
+@pytest.mark.parametrize(("turns", "chars"), [(256, 1 << 25), (7, 1 << 25), (7, 300), (1, 1)])
+def test_long_conversations_are_decoded_whole(spark, monkeypatch, turns, chars):
+    """Small chunks and ranges; one conversation has half of the rows, and one has turns without number."""
     rng = random.Random(2)
-    rows = [(1, k, "user" if k % 2 else "assistant", " ".join("word" for _ in range(rng.choice([3, 150])))) for k in range(60)]
+    words = lambda: " ".join("word" for _ in range(rng.choice([3, 150])))
+    rows = [(1, k, "user" if k % 2 else "assistant", words()) for k in range(60)]
+    rows += [(c, k, None, words() + ("\nUser: and\nAssistant: so" if k == 2 else "")) for c in range(2, 12) for k in range(4)]
+    rows += [(None, None, None, f"Assistant: {k}") for k in range(9)] + [(20, 1, None, "second"), (20, None, "system", "System: first"), (20, 0, None, None)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat_format, "CHUNK_TURNS", turns)
+    monkeypatch.setattr(chat_format, "RANGE_CHARS", chars)
     model = chat_format.train(table)
-    whole = [r["role_pred"] for r in chat_format.format_conversations(table, model).orderBy("turn").collect()]
-    monkeypatch.setattr(chat_format, "BLOCK", 7)
-    assert [r["role_pred"] for r in chat_format.format_conversations(table, model).orderBy("turn").collect()] == whole
-    scores = np.array([model.turn(t) for _, _, _, t in rows])
-    assert [chat_format.ROLES[k] for k in chat_format.viterbi(scores, model.next, model.start)] == whole
+    found = collections.defaultdict(list)
+    for r in chat_format.format_conversations(table, model).collect():
+        found[r["conv_id"]].append((r["turn"] is not None, r["turn"] or 0, r["part"], r["role_pred"], r["rendered"]))
+    hashed = {r["text"]: r["h"] for r in table.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, hashed[r[3]]))
+        lines = [chat_format.lines_of(r[3] or "", True) for r in own]
+        path = chat_format.viterbi(np.concatenate([model.scores(l, True) for l in lines]), model.step, model.first)
+        want = chat_format._rendered(model, [r[1] for r in own], lines, path)
+        assert sorted((w["turn"] is not None, w["turn"] or 0, w["part"], w["role_pred"], w["rendered"]) for w in want) == sorted(found[conv])
+    assert [t[3] for t in sorted(found[20])][0] == "system"  # a turn without number comes first
+    assert [t[2:4] for t in sorted(found[5]) if t[1] == 2][1:] == [(1, "user"), (2, "assistant")]
 
 
 def test_roles_are_recovered(spark):
     rows = queries.op3_chat_format(spark, SMALL).toPandas()
     truth = spark.read.parquet(f"{SMALL}/conversations.parquet").toPandas()
     both = rows.merge(truth, on=["conv_id", "turn"])
-    assert len(rows) == len(truth) and (both["role_pred"] == both["role"]).mean() > 0.85
+    assert len(both) == len(truth) == len(rows) and (both["role_pred"] == both["role"]).mean() > 0.85
 
 
 def held_out(spark, rows, column):

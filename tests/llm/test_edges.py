@@ -151,8 +151,11 @@ def test_top_k(spark):
 
 
 def test_chats(spark):
-    rows = [(1, 0, "user", "Hi?"), (1, 1, "assistant", "Hello.\nHow can I help?"), (1, 2, "user", None), (None, 0, "user", ""), (2, 0, None, "Assistant: so"), (2, 0, None, "Assistant: so"), (3, None, "system", "Be kind."), (3, 700, "user", "far")]
+    rows = [(1, 0, "user", "Hi?"), (1, 1, "assistant", "Hello.\nHow can I help?"), (1, 2, "user", None), (None, 0, "user", ""), (2, 0, None, "Assistant: so"), (2, 0, None, "Assistant: so"), (3, None, "system", "System: Be kind."), (3, 700, "user", "far")]
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, block int, role_pred string")
     found = chat_format.format_conversations(table).collect()
     assert len(found) == len(rows)
+    assert sorted(r["role_pred"] for r in found if r["conv_id"] == 3 and r["turn"] is None) == ["system"]
+    long = spark.createDataFrame([(1, 0, None, "a line of text\n" * 60_000)], "conv_id long, turn long, role string, text string")
+    assert [len(r["rendered"]) > 800_000 for r in chat_format.format_conversations(long).collect()] == [True]
     assert chat_format.format_conversations(table.limit(0)).count() == 0
