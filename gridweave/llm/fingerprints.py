@@ -14,15 +14,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridweave.llm.common import released
+from gridweave.operators.components import connected_components
+from gridweave.session import stored
 
 #: The walk's random bits repeat after so many steps, and characters fall into so many classes.
 PERIOD, CLASSES = 4096, 256
@@ -30,6 +33,12 @@ PERIOD, CLASSES = 4096, 256
 SAMPLES = 256
 ALPHABET = string.digits + string.ascii_lowercase + string.ascii_uppercase + "+"
 PAD = "."
+#: Bands of a fingerprint and samples of a band; documents at least so alike are near.
+BANDS, WIDTH, NEAR = 24, 8, 0.8
+#: A walk that went so far into its last octave may have near ones that end in the next.
+NEAR_END = 0.7
+#: Bytes of text that a range of documents holds, about.
+RANGE_BYTES = 32 << 20
 #: Characters (of texts and edited texts) that walk at once.
 BATCH_CHARS = 6_000_000
 
@@ -124,32 +133,130 @@ def likeness(a: str, b: str) -> float:
     return float((x == y)[live].mean()) if live.any() else 0.0
 
 
-def band_keys(fingerprint: str, bands: int = 16, width: int = 8, seed: int = 7) -> list[str]:
-    """Keys of bit-sampled bands at the fingerprint's own scale and the next, so that walks that end near a power of two meet."""
+def band_keys(fingerprint: str, bands: int = BANDS, width: int = WIDTH, seed: int = 7) -> list[int]:
+    """64-bit keys of bit-sampled bands at the fingerprint's own scale and, where its walk ends near the next power of two, at the next one.
+
+    Two fingerprints that agree in a part p of their samples share a band with
+    probability 1 - (1 - p ** width) ** bands.
+    """
     own = int(fingerprint[:2], 16)
+    last = _layout(own)[0][1] if own else 0
+    full = 1 - fingerprint[2 : 2 + last].count(PAD) / last if last else 0.0  # how far into its last octave the walk went
     keys = []
-    for scale in (own, own + 1) if own else (0,):
+    for scale in (own, own + 1) if full >= NEAR_END else (own,):
         samples = _at_scale(fingerprint, scale)
-        picks = np.random.RandomState(seed + 31 * scale)
-        for band in range(bands):
-            at = picks.randint(0, max(1, len(samples)), width)
-            keys.append(f"{scale}:{band}:" + "".join(samples[i] for i in at if i < len(samples)))
+        for band, at in enumerate(_bands(scale, max(1, len(samples)), bands, width, seed)):
+            name = f"{scale}:{band}:" + "".join(samples[i] for i in at if i < len(samples))
+            keys.append(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True))
     return keys
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bands: int = 16, width: int = 8) -> DataFrame:
-    """(id, fingerprint, bands array<string>) of every whole text; null texts count as empty."""
+@functools.cache
+def _bands(scale: int, samples: int, bands: int, width: int, seed: int) -> list[list[int]]:
+    return np.random.RandomState(seed + 31 * scale).randint(0, samples, (bands, width)).tolist()
+
+
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """[i, j]: :func:`likeness` of a[i] and b[j], all at once for each two scales."""
+    out = np.zeros((len(a), len(b)))
+    by_scale = [[(s, [k for k, f in enumerate(x) if int(f[:2], 16) == s]) for s in sorted({int(f[:2], 16) for f in x})] for x in (a, b)]
+    for (s, i), (t, j) in itertools.product(*by_scale):
+        scale = max(s, t)
+        if not scale:
+            out[np.ix_(i, j)] = 1.0
+            continue
+        x, y = (np.frombuffer("".join(_at_scale(f[k], scale) for k in at).encode(), dtype=np.uint8).reshape(len(at), -1) for f, at in ((a, i), (b, j)))
+        for k in range(0, len(i), 64):
+            part = x[k : k + 64, None, :]
+            live = (part != ord(PAD)) | (y[None] != ord(PAD))
+            n = live.sum(axis=2)
+            out[np.ix_(i[k : k + 64], j)] = np.where(n > 0, ((part == y[None]) & live).sum(axis=2) / np.maximum(n, 1), float(s == t))
+    return out
+
+
+def near_classes(fingers: DataFrame, threshold: float = NEAR, block: int = 400, small: int = 256) -> DataFrame:
+    """doc_id, class_id, n_near: classes of documents whose fingerprints are at least ``threshold`` alike.
+
+    fingers: (doc_id, fingerprint). Equal fingerprints are one node with a count. Nodes
+    that share a band meet in one task, where those that are alike are linked; a band
+    that more than ``small`` nodes share links them all unseen. What the links join is a
+    cluster of candidates; inside each cluster every pair of nodes is verified on the
+    whole fingerprints, in blocks of bounded size. n_near counts the other documents
+    that are alike (copies included); class_id is the least doc_id that verified links
+    lead to. Rows without doc_id are classes of their own (class_id null, 0).
+    """
+    known = fingers.where(F.col("doc_id").isNotNull() & F.col("fingerprint").isNotNull())
+    nodes = stored(known.groupBy(F.xxhash64("fingerprint").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("fingerprint").alias("fingerprint")))
+
+    def keys(batches):
+        for batch in batches:
+            found = [band_keys(f) for f in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), list(map(len, found)))), pa.array([k for f in found for k in f], pa.int64())], names=["node", "key"])
+
+    rows = stored(nodes.select("node", "fingerprint").mapInArrow(released(keys), "node long, key long").distinct())
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
+    # what a hot band's nodes need is one number, which goes to them by a join that AQE splits
+    stars = rows.join(shared.where(F.col("n") > small).select("key", "least"), "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    few = rows.join(shared.where(F.col("n") <= small).select("key"), "key").join(nodes.select("node", "fingerprint"), "node")
+
+    def linked(part: pa.Table) -> pa.Table:
+        node, names = part.column("node").to_numpy(), part.column("fingerprint").to_pylist()
+        x, y = np.nonzero(np.triu(likenesses(names, names) >= threshold, 1))
+        return pa.table({"a": node[y], "b": node[x]})
+
+    links = few.select("key", "node", "fingerprint").groupBy("key").applyInArrow(linked, "a long, b long").unionByName(stars).distinct()
+    clusters = stored(connected_components(links).withColumnRenamed("component", "cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    wanted = clusters.join(sizes, "cluster").join(nodes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = spread.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "fingerprint")
+
+    def verified(part: pa.Table) -> pa.Table:
+        node, copies, own = (part.column(c).to_numpy() for c in ("node", "copies", "own"))
+        names, i, j = part.column("fingerprint").to_pylist(), part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        alike = likenesses(names, names) >= threshold
+        np.fill_diagonal(alike, False)
+        if i != j:
+            alike &= own[:, None] != own[None, :]  # pairs inside a block belong to the block with itself
+        some = np.flatnonzero(alike.any(axis=1))
+        first = alike[some].argmax(axis=1)
+        label = np.arange(len(node))
+        while len(some):
+            after = np.minimum(label, np.where(alike.any(axis=1), np.where(alike, label[None, :], len(node)).min(axis=1, initial=len(node)), label))
+            if np.array_equal(after, label):
+                break
+            label = after
+        return pa.table({"node": node[some], "root": node[label[some]], "near": alike[some] @ copies}) if len(first) else empty
+
+    empty = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("near", pa.int64())]).empty_table()
+    exact = stored(keyed.groupBy("cluster", "i", "j").applyInArrow(verified, "node long, root long, near long"))
+    classes = stored(connected_components(exact.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    least = classes.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
+    near = classes.join(least, "component").select("node", "class_id").join(exact.groupBy("node").agg(F.sum("near").alias("near")), "node", "left")
+    info = nodes.join(near, "node", "left").select(F.col("node").alias("_node"), F.coalesce("class_id", "rep").alias("_class"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("_near"))
+    out = fingers.select("doc_id", F.xxhash64("fingerprint").alias("node")).join(info, F.col("node") == F.col("_node"), "left")
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.when(known, F.col("_class")).alias("class_id"), F.when(known, F.col("_near")).otherwise(F.lit(0)).cast("long").alias("n_near"))
+
+
+def fingerprint_table(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, fingerprint) of every whole text; one narrow pass. Null texts count as empty; null ids and repeated rows are kept."""
 
     def fingers(batches):
         for batch in batches:
             for part in _by_chars(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                found = fingerprints([t or "" for _, t in part], seed)
-                yield pa.RecordBatch.from_pylist([{"id": i, "fingerprint": f, "bands": band_keys(f, bands, width, seed)} for (i, _), f in zip(part, found)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array(fingerprints([t or "" for _, t in part], seed))], names=["doc_id", "fingerprint"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(fingers), "doc_id long, fingerprint string")
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType
-    schema = pa.schema([("id", pa.int64() if isinstance(kind, T.LongType) else pa.string()), ("fingerprint", pa.string()), ("bands", pa.list_(pa.string()))])
-    return source.mapInArrow(released(fingers), f"id {kind.simpleString()}, fingerprint string, bands array<string>").withColumnRenamed("id", id_col)
+
+def near_documents(docs: DataFrame, threshold: float = NEAR, seed: int = 7) -> DataFrame:
+    """doc_id, class_id, n_near of every document, by :func:`fingerprint_table` and :func:`near_classes`.
+
+    Empty texts are alike; an empty table gives an empty result; columns other than
+    doc_id and text are not read.
+    """
+    return near_classes(stored(fingerprint_table(docs, seed)), threshold)
 
 
 def _by_chars(rows):
@@ -165,32 +272,44 @@ def _by_chars(rows):
 
 
 def _in_order(docs: DataFrame, spread: int) -> DataFrame:
-    """The documents in ranges of ascending id, each range with the first document of the next at its end.
-
-    Range bounds are approximate quantiles of the ids, found in one pass over the
-    id column; only they and one id per range reach the driver. Rows without id
-    come last. Returns (part, last boolean, doc_id, text), sorted within partitions.
+    """The documents in ranges of ascending (doc_id, hash of the text), each range with the first document of the next at its end.
+
+    There are ``spread`` ranges an input partition, and more where those would hold more
+    than RANGE_BYTES of text. Their bounds are approximate quantiles of the ids; an id
+    with so many rows that it is a bound more than once, and the rows without id, are
+    dealt by the hash, in as many ranges. Only bounds and one row per range reach the
+    driver. Rows without id come last. Returns (part, last boolean, doc_id, text),
+    sorted within partitions.
     """
     spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    wanted = max(1, min(20_000, spread * ids.rdd.getNumPartitions()))
-    bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", [k / wanted for k in range(1, wanted)], 0.5 / wanted)}) if wanted > 1 else []
-    # the number of bounds up to the id, by a coarse and then a fine count
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    size, n, without = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    files = max(1, len(docs.inputFiles()))
+    wanted = max(1, min(20_000, n, max(spread * files, spread * spark.sparkContext.defaultParallelism, size // RANGE_BYTES)))
+    quantiles = docs.select("doc_id").approxQuantile("doc_id", [k / wanted for k in range(1, wanted)], 0.25 / wanted) if wanted > 1 else []
+    times = sorted(Counter(map(int, quantiles)).items())
+    bounds, copies = [b for b, _ in times], [m if m > 1 else 0 for _, m in times]
+    starts = list(itertools.accumulate((m + 1 for m in copies), initial=1))  # range 0: before the first bound
+    nulls = max(1, without * wanted // max(1, n))
+    array = lambda x, kind: (F.array(*map(F.lit, x)) if x else F.array()).cast(f"array<{kind}>")
     step = max(1, int(len(bounds) ** 0.5))
-    every, coarse = (F.array(*map(F.lit, x)).cast("array<bigint>") if x else F.array().cast("array<bigint>") for x in (bounds, bounds[step - 1 :: step]))
     up_to = lambda edges: F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
-    at = up_to(coarse) * step
-    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(at + up_to(F.slice(every, at + 1, F.lit(step)))).cast("int")
-    firsts = [(r["part"], r["first"]) for r in ids.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("first")).collect()]
-    firsts.sort()
-    before = {p: firsts[k - 1][0] for k, (p, _) in enumerate(firsts)}
-    lead = [(i, p, before[p]) for p, i in firsts]
-    schema = "lead_id long, own int, earlier int"
-    leads = spark.createDataFrame(lead, schema)
-    rows = docs.select("doc_id", "text", part.alias("part"))
-    copies = rows.join(F.broadcast(leads), (rows.part == leads.own) & rows.doc_id.eqNullSafe(leads.lead_id)).select(F.col("earlier").alias("part"), F.lit(True).alias("last"), "doc_id", "text")
-    both = rows.select("part", F.lit(False).alias("last"), "doc_id", "text").unionByName(copies)
-    return both.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_last(), "text")
+    # the number of bounds up to the id, by a coarse and then a fine count
+    at = up_to(array(bounds[step - 1 :: step], "bigint")) * step
+    at = at + up_to(F.slice(array(bounds, "bigint"), at + 1, F.lit(step)))
+    place = (F.shiftright("h", 33) + (1 << 30)) / F.lit(float(1 << 31))  # of the hash, from 0 to 1
+    of = lambda values: F.element_at(array(values, "int"), F.greatest(at, F.lit(1)))
+    with_id = F.when(at == 0, 0).otherwise(of(starts) + F.when(of(copies) > 0, F.when(F.element_at(array(bounds, "bigint"), F.greatest(at, F.lit(1))) == F.col("doc_id"), F.floor(place * of(copies))).otherwise(of(copies))).otherwise(0)) if bounds else F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), starts[-1] + F.floor(place * nulls)).otherwise(with_id).cast("int")
+    rows = hashed.withColumn("part", part)
+    firsts = sorted((r["part"], r["f"]["doc_id"], r["f"]["h"]) for r in rows.select("part", "doc_id", "h").groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("f")).collect())
+    lead = [(i, h, p, firsts[k - 1][0]) for k, (p, i, h) in enumerate(firsts)]
+    leads = spark.createDataFrame(lead, "lead_id long, lead_h long, own int, earlier int")  # one row per range
+    copied = rows.join(F.broadcast(leads), (rows.part == leads.own) & rows.doc_id.eqNullSafe(leads.lead_id) & (rows.h == leads.lead_h))
+    copied = copied.select(F.col("earlier").alias("part"), F.lit(True).alias("last"), "doc_id", "h", "text")
+    both = rows.select("part", F.lit(False).alias("last"), "doc_id", "h", "text").unionByName(copied)
+    ordered = both.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_last(), "h", "text")
+    return ordered.select("part", "last", "doc_id", "text")
 
 
 def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFrame:
@@ -201,11 +320,13 @@ def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFr
     the last document comes the first. The rows move once, into ranges of doc_id.
 
     Null texts are empty. Rows that share a doc_id follow one another in the order
-    of their texts; rows without doc_id come after all others. The only document of
+    of a hash of their texts; rows without doc_id come after all others, likewise. The only document of
     a table is its own next one. An empty table gives an empty result; columns
     other than doc_id and text are not read. Two empty texts are alike (1), an
     empty and another text are not (0).
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    found_edited, found_next: whether the pair shares a band and is then verified to be
+    at least NEAR alike, as :func:`near_classes` does for all documents.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, found_edited, found_next.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -216,6 +337,9 @@ def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFr
             edited = [t[: n - n // 4] + after[: n // 4] for t, after in zip(texts, texts[1:]) for n in [len(t)]]
             found = fingerprints(texts + edited, seed)
             own, new = found[: len(texts)], found[len(texts) :]
+            bands = [set(band_keys(f)) for f in own]
+            near = [np.array(list(map(likeness, own, other)), dtype=np.float64) for other in (new, own[1:])]
+            met = [[bool(a & set(b)) for a, b in zip(bands, other)] for other in (map(band_keys, new), bands[1:])]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _ in part[:-1]], pa.int64()),
@@ -223,10 +347,10 @@ def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFr
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
                     pa.array(own[:-1]),
                     pa.array(new),
-                    pa.array(list(map(likeness, own, new)), pa.float64()),
-                    pa.array(list(map(likeness, own, own[1:])), pa.float64()),
+                    *map(pa.array, near),
+                    *(pa.array((n >= NEAR) & np.array(m, dtype=bool)) for n, m in zip(near, met)),
                 ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "found_edited", "found_next"],
             )
 
         held, chars, range_, over = [], 0, None, False
@@ -243,4 +367,4 @@ def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFr
                     yield ready(held)
                     held, chars = held[-1:], len(text)
 
-    return _in_order(source, spread).mapInArrow(released(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _in_order(source, spread).mapInArrow(released(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, found_edited boolean, found_next boolean")

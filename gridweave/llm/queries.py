@@ -14,6 +14,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near documents by banding and verification of the fingerprints."""
+    return fingerprints.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -87,6 +92,7 @@ def queries() -> dict:
         op8_packing,
         op9_language_id,
         op10_quality,
+        fingerprint_classes,
     )
     return {f.__name__: f for f in ops}
 

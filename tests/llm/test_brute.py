@@ -109,6 +109,41 @@ def test_fingerprints_rank_edits():
     assert a & b and not a & c
 
 
+def test_likenesses_are_those_of_pairs(documents):
+    found = fingerprints.fingerprints(["", "a", "a", "ab", *documents["text"].tolist()[:40]])
+    table = fingerprints.likenesses(found, found[::2])
+    assert table == pytest.approx(np.array([[fingerprints.likeness(a, b) for b in found[::2]] for a in found]))
+
+
+@pytest.mark.parametrize(("block", "small"), [(400, 256), (5, 3)])
+def test_near_documents_against_all_pairs(spark, block, small):
+    rng = random.Random(8)
+    texts = [None, "", "", "x", "xy"]
+    for g in range(8):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([120, 500, 1000, 3000])))
+        texts.append(base)
+        for _ in range(rng.randint(2, 9)):
+            chars = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                chars[rng.randrange(len(chars))] = rng.choice(["", "zz", "q"])
+            texts.append("".join(chars))
+    table = spark.createDataFrame([*enumerate(texts), (None, "x"), (3, "x")], "doc_id long, text string")
+    fingers = fingerprints.fingerprint_table(table)
+    found = fingers.collect()
+    rows = [(r["doc_id"], r["fingerprint"]) for r in found if r["doc_id"] is not None]
+    alike = [[i != j and fingerprints.likeness(a, b) >= fingerprints.NEAR for j, (_, b) in enumerate(rows)] for i, (_, a) in enumerate(rows)]
+    label = [i for i, _ in rows]
+    while True:
+        after = [min([label[k], *(label[j] for j, x in enumerate(alike[k]) if x)]) for k in range(len(rows))]
+        if after == label:
+            break
+        label = after
+    want = sorted((i, c, sum(a)) for (i, _), c, a in zip(rows, label, alike))
+    got = sorted((r["doc_id"], r["class_id"], r["n_near"]) for r in fingerprints.near_classes(fingers, block=block, small=small).collect() if r["doc_id"] is not None)
+    assert got == want and max(n for _, _, n in got) > 1
+    assert fingerprints.near_documents(table.limit(0)).count() == 0
+
+
 def brute_classes(texts, threshold=0.8):
     sets = []
     for _, t in texts:

@@ -58,9 +58,10 @@ def test_fingerprints(docs, none):
     rows = fingerprints.edited_neighbours(docs).collect()
     assert ids(rows) == EXPECTED
     by_text = {}
-    order = sorted(((r[0] is None, r[0] or 0, r[1] or "", r[0]) for r in ROWS))
-    for k, (_, _, text, doc) in enumerate(order):
-        after = order[(k + 1) % len(order)][2]
+    hashed = {r["text"] or "": r["h"] for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(((r[0] is None, r[0] or 0, hashed[r[1] or ""], r[1] or "", r[0]) for r in ROWS))
+    for k, (_, _, _, text, doc) in enumerate(order):
+        after = order[(k + 1) % len(order)][3]
         q = len(text) // 4
         sha = hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()
         assert any(r["doc_id"] == doc and r["n_chars"] == len(text) and r["edited_sha256"] == sha for r in rows)
