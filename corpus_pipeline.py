@@ -3,6 +3,11 @@
 Each stage is a function (spark, docs, sf_dir) -> DataFrame on all that the stage
 before it kept. Stages are written as Parquet and read again by :func:`run`; all
 but the last return the columns of ``documents``.
+
+Every stage judges rows, each on its own text: rows that share a doc_id, or have
+none, are kept or go one by one. Null texts count as empty, a null source is a
+source, an empty table gives an empty result, and columns besides those of
+``documents`` are not read. What else is special to a stage is told there.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm import jaccard_join, language_id, packing, source_mix, toxicity
 from gridweave.llm.common import table
-from gridweave.session import stored
+from gridweave.session import discard, stored, stored_alone
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,18 +27,19 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: rows with a predicted 1 go, each judged on its own text."""
+    """Toxicity: rows with a predicted 1 go. An empty text has the score of a text without known words and stays; ties at the threshold go."""
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: rows without a language, or unlike any learned one, go, each judged on its own text."""
+    """Language ID: rows without a language (null, blank, no letter), or unlike any learned one, go; of languages that tie the first by name is taken."""
     return language_id.language_id(docs, keep=COLUMNS[1:]).where("not rejected").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each class of near copies the row with the least doc_id stays (one without only if none has one).
 
+    Of rows that tie, repeated ones, one stays. All blank texts are one class.
     Classes are made of rows, not of ids: a number of the row takes the place of
     doc_id in the join. It is written with the rows, as it depends on how they are dealt.
     """
@@ -45,12 +51,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: each document as often as its source's rate says."""
+    """Mixing to target weights: each document as often as its source's rate says; rows that repeat a doc_id draw alike, blank texts as others."""
     return source_mix.emit(source_mix.mix(docs)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: one row per piece with its sequence and place."""
+    """Best-fit packing: one row per piece with its sequence and place; an empty text is one token, a repeated row is packed each time."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -67,5 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        discard(before)
     return docs

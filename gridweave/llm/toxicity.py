@@ -26,7 +26,7 @@ from gridweave.session import stored
 #: Feature buckets. A word and each of its stems (its first letters) fall into one bucket each.
 BUCKETS, STEMS, LEVELS = 1 << 22, (3, 4, 5, 6), (2, 3, 5, 8)
 #: A feature takes part if positive and unlabelled documents differ in it by this log-likelihood ratio.
-EVIDENCE = 20.0
+EVIDENCE = 15.0
 #: About so many confirmed toxic documents at most are learned from. Unlabelled documents all are.
 MOST_POSITIVE = 5_000
 #: Numbers (features of different documents) up to which the risk is summed in the driver instead of in tasks, with the same result.

@@ -11,6 +11,7 @@ from gridweave.llm import language_id, toxicity
 from gridweave.session import stored
 
 DATA = "/root/testdata/sf0.001"
+SMALL = "/root/testdata/sf0.01"  # the smallest data has too few toxic examples to learn a word from
 
 
 def test_stages(spark):
@@ -60,16 +61,16 @@ def test_foreign_documents_go_though_they_are_many(spark):
 
 def test_rows_are_judged_not_ids(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     verdicts = toxicity.toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect()
     toxic = max(verdicts, key=lambda r: r["score"])["text"]
     clean = min(verdicts, key=lambda r: r["score"])["text"]
     more = spark.createDataFrame([(None, toxic, "en", "x", 0), (900_001, toxic, "en", "x", 0), (900_001, clean, "en", "x", 0), (None, clean, "en", "x", 0)], schema)
-    kept = corpus_pipeline.drop_toxic(spark, docs.unionByName(more), DATA).where("source = 'x'").collect()
+    kept = corpus_pipeline.drop_toxic(spark, docs.unionByName(more), SMALL).where("source = 'x'").collect()
     assert sorted((r["doc_id"] or 0, r["text"] == clean) for r in kept) == [(0, True), (900_001, True)]
     more = spark.createDataFrame([(None, "12 34", "en", "x", 0), (900_001, "56 78", "en", "x", 0), (900_001, clean, "en", "x", 0)], schema)
-    kept = corpus_pipeline.drop_foreign(spark, docs.unionByName(more), DATA).where("source = 'x'").collect()
+    kept = corpus_pipeline.drop_foreign(spark, docs.unionByName(more), SMALL).where("source = 'x'").collect()
     assert [(r["doc_id"], r["text"]) for r in kept] == [(900_001, clean)]
 
 
@@ -80,3 +81,21 @@ def test_every_class_keeps_a_row_whatever_its_ids(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 11) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.keep_one_of_each(spark, docs, DATA).collect())
     assert kept == sorted([(7, a), (3, b), (9, c), (9, "y z y z y y"), (0, d)])
+
+
+def test_stages_on_odd_tables(spark):
+    """The edge fixture (nulls, empty and long texts, repeated ids) and an empty table go through every stage."""
+    from tests.llm.test_edges import ROWS
+
+    docs = spark.createDataFrame([(*r, None, "clash") for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            before, now = now, stored(stage(spark, now, DATA))
+            if name == "toxicity":
+                assert now.count() == start.count()
+            if name == "language_id":
+                assert {r["doc_id"] for r in now.collect()} <= {1, 4, 6, 7, None}
+            if name != "best_fit_packing":
+                assert now.columns == corpus_pipeline.COLUMNS
+        assert (now.count() > 0) == (start.count() > 0)
