@@ -34,6 +34,8 @@ CLASSES = 256
 #: Longer runs of letters are read as several words of this length.
 WORD = 64
 UNDETERMINED = "und"
+#: A table of one row a language is broadcast up to so many.
+BROADCAST_ROWS = 100_000
 
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -386,7 +388,9 @@ def with_rejection(found: DataFrame, share: float = 0.99, margin: float = 0.25)
     excess = F.col("entropy") - 2 / F.sqrt("chars")
     known = found.where(~F.col("held_out") & F.col("entropy").isNotNull() & (F.col("lang") == F.col("lang_pred")))
     limits = known.groupBy(F.col("lang").alias("_lang")).agg((F.percentile_approx(excess, share, 10_000) + margin).alias("_limit"))
-    widest = limits.agg(F.max("_limit")).first()[0]
+    widest, n = limits.agg(F.max("_limit"), F.count("*")).first()
+    if n <= BROADCAST_ROWS:  # else Spark joins by language and splits what is large
+        limits = F.broadcast(limits)
     return (
         found.join(limits, F.col("lang_pred") == F.col("_lang"), "left")
         .withColumn("rejected", F.col("entropy").isNull() | (excess > F.coalesce("_limit", F.lit(float("inf") if widest is None else widest))))

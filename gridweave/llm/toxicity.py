@@ -29,6 +29,8 @@ BUCKETS, STEMS, LEVELS = 1 << 22, (3, 4, 5, 6), (2, 3, 5, 8)
 EVIDENCE = 15.0
 #: About so many confirmed toxic documents at most are learned from. Unlabelled documents all are.
 MOST_POSITIVE = 5_000
+#: What may be a feature is first looked for in about so many labelled documents at most, where this evidence is enough.
+MOST_LABELLED, SOME_EVIDENCE = 10_000, 5.0
 #: Numbers (features of different documents) up to which the risk is summed in the driver instead of in tasks, with the same result.
 IN_DRIVER = 4_000_000
 THRESHOLD = 0.3
@@ -251,6 +253,13 @@ def _in_tasks(rows: DataFrame) -> Callable[[Callable[[Patterns], np.ndarray]], n
     return total
 
 
+def _promising(positive: DataFrame, others: DataFrame) -> np.ndarray:
+    """Buckets that at least two of the examples have, and that set them apart from the others a little."""
+    kinds = [x.count() for x in (positive, others)]
+    n_p, n_o = (_dense(_counted(x), BUCKETS) for x in (positive, others))
+    return np.flatnonzero(evidence(n_p, n_o, *kinds) >= SOME_EVIDENCE).astype(np.int32)
+
+
 def train(rows: DataFrame, positives: DataFrame, width: int, prior: float, in_driver: int = IN_DRIVER) -> np.ndarray:
     """Weights of features 0 to ``width`` - 1, and the bias last.
 
@@ -288,14 +297,15 @@ def train(rows: DataFrame, positives: DataFrame, width: int, prior: float, in_dr
     return out
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = (), threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2, most_positive: int = MOST_POSITIVE, in_driver: int = IN_DRIVER) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = (), threshold: float = THRESHOLD, folds: int = 4, held_out: int = 2, most_positive: int = MOST_POSITIVE, most_labelled: int = MOST_LABELLED, in_driver: int = IN_DRIVER) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text, and the columns ``keep``.
 
     The examples are documents that are labelled toxic outside the held-out fold, at
     most about ``most_positive`` of them, chosen by a hash of doc_id. The prior is the
-    share of toxic ones among the learnable labels. Only what at least two examples
-    have can be a feature; one pass over all texts writes those of each document, and
-    learning from all of them and scoring read that table.
+    share of toxic ones among the learnable labels. What may be a feature is looked for
+    in about ``most_labelled`` labelled documents of either kind at most; one pass over all
+    texts writes those of each document, and learning from all of them (which features
+    count, too) and scoring read that table.
 
     A null or empty text has the score of a text without known words. Null ids and
     repeated rows are kept and count each; documents labelled twice count by their
@@ -307,13 +317,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = (), thres
     learn = labels.where((fold("doc_id", folds) != held_out) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, toxic = learn.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
     prior = min(0.9, max(0.001, toxic / total if total else 0.001))
-    examples = learn.where("toxic = 1").select("doc_id")
-    if toxic > most_positive:
-        examples = examples.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * most_positive / toxic))
+    part = lambda rows, n, most, salt: rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * most / n)) if n > most else rows
+    examples = part(learn.where("toxic = 1").select("doc_id"), toxic, most_positive, 1)
+    others = part(learn.select("doc_id"), total, most_labelled, 2)
     source = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    confirmed = source.select("doc_id", "text", "_h").join(F.broadcast(examples), "doc_id", "left_semi").dropDuplicates(["_h"])  # about most_positive ids
-    n = stored(_counted(featured(confirmed, None, ["_h"]))).where("n > 1").toPandas()
-    wanted = np.sort(n["bucket"].to_numpy(dtype=np.int32))
+    # labelled documents of either kind stand for text at large here; both tables of ids have a bound
+    sample = source.select("doc_id", "text", "_h").join(F.broadcast(examples.unionByName(others).distinct()), "doc_id", "left_semi")
+    sample = stored(featured(sample, None, ["doc_id", "_h"]).drop("text"))
+    confirmed = sample.join(F.broadcast(examples), "doc_id", "left_semi").dropDuplicates(["_h"])
+    wanted = _promising(confirmed, sample.dropDuplicates(["_h"]))
     columns = ["doc_id", *(c for c in keep if c != "doc_id"), "_h"]
     rows = featured(source, wanted, columns)
     rows = stored(rows if "text" in keep else rows.drop("text"))
