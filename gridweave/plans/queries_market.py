@@ -97,12 +97,27 @@ def _cleared(t):
     return market.cleared(offers, offers.select("hour").distinct().withColumn("mw", F.lit(1000.0)))
 
 
-@query()
+_EXPORTS = ((950.0, 40.0), (1000.0, 25.0), (1100.0, 150.0))
+
+
+@query("""WITH RECURSIVE o AS (SELECT generator_id % 24 AS hour, generator_id AS unit, p_nom AS mw, cost AS bid, generator_id % 10 < 3 AS must,
+        row_number() OVER (PARTITION BY generator_id % 24 ORDER BY cost, generator_id) AS k FROM gen),
+    d AS (SELECT DISTINCT hour, CAST(hour % 8 * 60 + 5 AS DOUBLE) AS need FROM o),
+    x AS (SELECT o.*, (CASE WHEN bid >= 950 THEN 40.0 ELSE 0 END + CASE WHEN bid >= 1000 THEN 25.0 ELSE 0 END + CASE WHEN bid >= 1100 THEN 150.0 ELSE 0 END)::DOUBLE AS called FROM o),
+    r AS (SELECT hour, 0::BIGINT AS k, need AS remaining, 0::DOUBLE AS called, 0::DOUBLE AS price, 0::DOUBLE AS ran, false AS done FROM d
+        UNION ALL
+        SELECT hour, k, room - ran, called, CASE WHEN ran > 0 THEN bid ELSE price END, ran, ran > 0 AND room - ran <= 0 AND NOT must FROM
+            (SELECT x.hour, x.k, x.called, x.bid, x.must, r.price, r.remaining + x.called - r.called AS room,
+                CASE WHEN r.remaining + x.called - r.called > 0 THEN least(x.mw, r.remaining + x.called - r.called) WHEN x.must THEN x.mw ELSE 0 END AS ran
+             FROM r JOIN x ON x.hour = r.hour AND x.k = r.k + 1 WHERE NOT r.done)),
+    ends AS (SELECT hour, max_by(price, k) AS price, max(called) AS exported FROM r GROUP BY hour)
+    SELECT o.hour, o.unit, round(coalesce(r.ran, 0), 6) AS dispatched, round(ends.price, 6) AS price, round(ends.exported, 6) AS exported FROM o JOIN ends ON ends.hour = o.hour LEFT JOIN r ON r.hour = o.hour AND r.k = o.k""")
 def clearing_with_exports(t):
-    offers = _offers(t).withColumn("must_run", F.col("unit") % 10 == 0)
-    demand = offers.select("hour").distinct().withColumn("mw", F.lit(800.0))
-    exports = demand.select("hour", F.lit(1100.0).alias("price"), F.lit(150.0).alias("mw"))
-    return market.cleared_with_exports(offers, demand, exports).select("hour", "unit", r6("dispatched").alias("dispatched"), r6("price").alias("price"), "exported")
+    offers = _offers(t).withColumn("must_run", F.col("unit") % 10 < 3)
+    demand = offers.select("hour").distinct().withColumn("mw", (F.col("hour") % 8 * 60 + 5).cast("double"))
+    steps = F.array(*(F.struct(F.lit(p).alias("price"), F.lit(m).alias("mw")) for p, m in _EXPORTS))
+    exports = demand.select("hour", F.explode(steps).alias("e")).select("hour", "e.*")
+    return market.cleared_with_exports(offers, demand, exports).select("hour", "unit", *(r6(c).alias(c) for c in ("dispatched", "price", "exported")))
 
 
 @query("""WITH q AS (SELECT quantile_cont(mw, 0.6) AS a, quantile_cont(mw, 0.75) AS b, quantile_cont(mw, 0.85) AS c, quantile_cont(mw, 0.93) AS d, quantile_cont(mw, 0.97) AS e, quantile_cont(mw, 0.99) AS f FROM ev)

@@ -67,9 +67,13 @@ def test_redispatch_relieves(spark):
 def test_clearing_with_exports():
     out, price, exported = market.clear_hour(np.array([-40.0, 10.0, 20.0, 50.0]), np.array([30.0, 50.0, 50.0, 50.0]), np.array([True, False, False, False]), 60.0, np.array([15.0]), np.array([40.0]))
     assert out.tolist() == [30.0, 30.0, 0.0, 0.0] and price == 10.0 and exported == 0.0
-    # a surplus of must-run passes over offers, and exports can start the hour again
+    # a must-run offer serves what is left of the demand, and exports can start the hour again
     out, price, exported = market.clear_hour(np.array([-40.0, 10.0, 20.0]), np.array([80.0, 50.0, 50.0]), np.array([True, False, False]), 60.0, np.array([15.0]), np.array([40.0]))
-    assert out.tolist() == [80.0, 0.0, 20.0] and price == 20.0 and exported == 40.0
+    assert out.tolist() == [60.0, 0.0, 40.0] and price == 20.0 and exported == 40.0
+    # with nothing left it runs in full; an offer of 0 MW sets no price; an hour in which nothing runs costs 0
+    out, price, _ = market.clear_hour(np.array([-40.0, -30.0, 5.0]), np.array([60.0, 25.0, 0.0]), np.array([True, True, True]), 60.0, np.zeros(0), np.zeros(0))
+    assert out.tolist() == [60.0, 25.0, 0.0] and price == -30.0
+    assert market.clear_hour(np.array([5.0]), np.array([0.0]), np.array([True]), 60.0, np.zeros(0), np.zeros(0))[1] == 0.0
 
 
 def test_commitment_keeps_minimum_times():
