@@ -38,6 +38,8 @@ MARGIN = 0.2
 BLOCK_SETS, BLOCK_SHINGLES = 400, 600_000
 #: More rows than this are not broadcast; a hot path's rows then go to so many places.
 BROADCAST_ROWS, SALT = 500_000, 16
+#: A set with more copies than this is joined to its rows apart.
+MANY = 1_000
 
 
 def runs_for(recall: float, threshold: float = THRESHOLD, levels: int = LEVELS) -> int:
@@ -360,7 +362,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WOR
     named = classes.join(nodes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     near = named.join(least, "component").select("node", "class_id").join(exact.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    info = nodes.select("node", "rep", "copies").join(near, "node", "left").select(F.col("node").alias("_node"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = rows.select("doc_id", "node").join(info, F.col("node") == F.col("_node"), "left")
+    info = nodes.select("node", "rep", "copies").join(near, "node", "left").select(F.col("node").alias("_node"), "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # sets with many copies, of which there are at most len(rows) / MANY, go to the rows; other rows meet their sets
+    many = info.where(F.col("copies") > MANY)
+    some = info.where(F.col("copies") <= MANY).drop("copies")
+    if many.count() <= BROADCAST_ROWS:
+        many = F.broadcast(many)
+    pairs = rows.select("doc_id", "node")
+    hot = pairs.join(many.drop("copies"), F.col("node") == F.col("_node"))
+    joined = pairs.join(many.select("_node"), F.col("node") == F.col("_node"), "left_anti").join(some, F.col("node") == F.col("_node"), "left").unionByName(hot)
     known = F.col("doc_id").isNotNull()
     return joined.select("doc_id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))

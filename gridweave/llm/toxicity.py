@@ -256,8 +256,9 @@ def _in_tasks(rows: DataFrame) -> Callable[[Callable[[Patterns], np.ndarray]], n
 def _promising(positive: DataFrame, others: DataFrame) -> np.ndarray:
     """Buckets that at least two of the examples have, and that set them apart from the others a little."""
     kinds = [x.count() for x in (positive, others)]
-    n_p, n_o = (_dense(_counted(x), BUCKETS) for x in (positive, others))
-    return np.flatnonzero(evidence(n_p, n_o, *kinds) >= SOME_EVIDENCE).astype(np.int32)
+    both = _counted(positive).where("n > 1").join(_counted(others).withColumnRenamed("n", "o"), "bucket", "left").toPandas().sort_values("bucket")
+    enough = evidence(both["n"].to_numpy(), both["o"].fillna(0).to_numpy(), *kinds) >= SOME_EVIDENCE
+    return both["bucket"].to_numpy(dtype=np.int32)[enough]
 
 
 def train(rows: DataFrame, positives: DataFrame, width: int, prior: float, in_driver: int = IN_DRIVER) -> np.ndarray:
