@@ -337,9 +337,9 @@ def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFr
             edited = [t[: n - n // 4] + after[: n // 4] for t, after in zip(texts, texts[1:]) for n in [len(t)]]
             found = fingerprints(texts + edited, seed)
             own, new = found[: len(texts)], found[len(texts) :]
-            bands = [set(band_keys(f)) for f in own]
             near = [np.array(list(map(likeness, own, other)), dtype=np.float64) for other in (new, own[1:])]
-            met = [[bool(a & set(b)) for a, b in zip(bands, other)] for other in (map(band_keys, new), bands[1:])]
+            # of pairs that are not alike it does not matter whether they share a band
+            met = [[n >= NEAR and not set(band_keys(a)).isdisjoint(band_keys(b)) for n, a, b in zip(ns, own, other)] for ns, other in zip(near, (new, own[1:]))]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _ in part[:-1]], pa.int64()),
@@ -348,7 +348,7 @@ def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFr
                     pa.array(own[:-1]),
                     pa.array(new),
                     *map(pa.array, near),
-                    *(pa.array((n >= NEAR) & np.array(m, dtype=bool)) for n, m in zip(near, met)),
+                    *(pa.array(m, pa.bool_()) for m in met),
                 ],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "found_edited", "found_next"],
             )

@@ -109,7 +109,8 @@ def content(texts: pa.Array, counts: np.ndarray, memo) -> np.ndarray:
     kinds = np.unique(owner[common] * WORD_BUCKETS + buckets[code[common]]) // WORD_BUCKETS
     out[:, 3] = np.log1p(np.bincount(kinds, minlength=n))
     follow = owner[1:] == owner[:-1]
-    pairs = np.unique(np.stack([owner[1:][follow], code[:-1][follow].astype(np.int64) * len(distinct) + code[1:][follow]]), axis=1)[0] if follow.any() else owner[:0]
+    wide = len(distinct)
+    pairs = np.unique((owner[1:][follow] * wide + code[:-1][follow]) * wide + code[1:][follow]) // (wide * wide)
     out[:, 4] = np.bincount(pairs, minlength=n) / np.maximum(words - 1, 1)
     return out
 
