@@ -27,12 +27,14 @@ from gridweave.session import stored
 BUCKETS, STEMS, LEVELS = 1 << 22, (3, 4, 5, 6), (2, 3, 5, 8)
 #: A feature takes part if positive and unlabelled documents differ in it by this log-likelihood ratio.
 EVIDENCE = 15.0
+#: ... and if it is at least so many times as frequent in positive documents; in large samples common words differ a little for sure.
+LIFT = 3.0
 #: About so many confirmed toxic documents at most are learned from. Unlabelled documents all are.
 MOST_POSITIVE = 5_000
 #: What may be a feature is first looked for in about so many labelled documents at most, where this evidence is enough.
 MOST_LABELLED, SOME_EVIDENCE = 10_000, 5.0
 #: Numbers (features of different documents) up to which the risk is summed in the driver instead of in tasks, with the same result.
-IN_DRIVER = 4_000_000
+IN_DRIVER = 16_000_000
 THRESHOLD = 0.3
 
 _RUN = re.compile(r"[^\W\d_]+")
@@ -122,12 +124,13 @@ def _expand(owner, item, ends, members):
 
 
 def evidence(n_p, n_u, total_p, total_u):
-    """The log-likelihood ratio of a feature seen in n_p of total_p positive and n_u of total_u unlabelled documents; 0 if it speaks against."""
+    """The log-likelihood ratio of a feature seen in n_p of total_p positive and n_u of total_u unlabelled documents; 0 if it is not LIFT times as frequent."""
     n_p, n_u = np.asarray(n_p, dtype=np.float64), np.asarray(n_u, dtype=np.float64)
     expected = (n_p + n_u) * (total_p / max(1, total_p + total_u))
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * (np.where(n_p > 0, n_p * np.log(n_p / expected), 0) + np.where(n_u > 0, n_u * np.log(n_u / (n_p + n_u - expected)), 0))
-    return np.where((n_p >= 2) & (n_p > expected), ratio, 0.0)
+    more = n_p * max(1, total_u) >= LIFT * n_u * max(1, total_p)
+    return np.where((n_p >= 2) & more, ratio, 0.0)
 
 
 class Patterns:
@@ -136,8 +139,8 @@ class Patterns:
     def __init__(self, lists: pa.ListArray, n: np.ndarray):
         offsets = np.asarray(lists.offsets).astype(np.int64)
         self.n, self.sizes = np.asarray(n, dtype=np.float64), np.diff(offsets)
-        self.columns = np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int64)
-        self.owner = np.repeat(np.arange(len(self.n)), self.sizes)
+        self.columns = np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int32)
+        self.owner = np.repeat(np.arange(len(self.n), dtype=np.int32), self.sizes)
 
     def scores(self, theta: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, theta[self.columns], len(self.n)) + theta[-1]
@@ -154,7 +157,7 @@ class Patterns:
         return np.concatenate([[np.logaddexp(0, z) @ self.n, np.logaddexp(0, -z) @ self.n], *gradients])
 
 
-def fit(width: int, positive: Callable[[np.ndarray], np.ndarray], unlabelled: Callable[[np.ndarray], np.ndarray], total_p: float, total_u: float, prior: float, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:
+def fit(width: int, positive: Callable[[np.ndarray], np.ndarray], unlabelled: Callable[[np.ndarray], np.ndarray], total_p: float, total_u: float, prior: float, steps: int = 100, rate: float = 0.2, decay: float = 1e-3) -> np.ndarray:
     """Weights of ``width`` features and the bias, by Adam on the non-negative PU risk with logistic loss.
 
     positive, unlabelled: from weights to the sums of :meth:`Patterns.sums` over all
@@ -230,9 +233,10 @@ def _patterns(different: DataFrame, chosen: np.ndarray) -> DataFrame:
 
 
 def _here(rows: DataFrame) -> Patterns:
-    found = rows.toPandas()
-    lists = pa.array([list(x) for x in found["_features"]], pa.list_(pa.int32()))
-    return Patterns(lists, found["n"].to_numpy())
+    found = rows.select("_features", "n").toArrow().combine_chunks()
+    lists = found.column("_features").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return Patterns(lists, found.column("n").to_numpy())
 
 
 def _in_tasks(rows: DataFrame) -> Callable[[Callable[[Patterns], np.ndarray]], np.ndarray]:
@@ -326,7 +330,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = (), thres
     sample = source.select("doc_id", "text", "_h").join(F.broadcast(examples.unionByName(others).distinct()), "doc_id", "left_semi")
     sample = stored(featured(sample, None, ["doc_id", "_h"]).drop("text"))
     confirmed = sample.join(F.broadcast(examples), "doc_id", "left_semi").dropDuplicates(["_h"])
-    wanted = _promising(confirmed, sample.dropDuplicates(["_h"]))
+    wanted = _promising(confirmed, sample.join(F.broadcast(others), "doc_id", "left_semi").dropDuplicates(["_h"]))
     columns = ["doc_id", *(c for c in keep if c != "doc_id"), "_h"]
     rows = featured(source, wanted, columns)
     rows = stored(rows if "text" in keep else rows.drop("text"))
