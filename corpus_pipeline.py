@@ -47,7 +47,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     classes = jaccard_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
     ids = rows.select("_row", F.col("doc_id").isNull().alias("_none"), "doc_id")
     first = stored(classes.join(ids, "_row").groupBy("class_id").agg(F.min(F.struct("_none", "doc_id", "_row")).alias("_f")).select("_f._row"))
-    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
+    # the rows that go are fewer than those that stay: where they may be broadcast, no text is shuffled
+    gone = stored(rows.select("_row").join(first, "_row", "left_anti"))
+    if gone.count() <= jaccard_join.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
