@@ -158,28 +158,6 @@ def net_injection(t):
     return network.injections(e.where(gives), e.where(~gives)).withColumn("mw", r6("mw"))
 
 
-def _island(t):
-    """The first stretch as a small network: buses 0 to 5 and the lines among them."""
-    lines = t.stretch.where("bus0 < 5").withColumn("v_nom", F.lit(110.0))
-    buses = lines.select(F.explode(F.array("bus0", "bus1")).alias("bus_id")).distinct()
-    return lines, buses
-
-
-@query("""WITH l AS (SELECT * FROM stretch WHERE bus0 < 5), inj AS (SELECT CAST(s AS BIGINT) AS snapshot, CAST(b AS BIGINT) AS bus, (b * s - 7)::DOUBLE AS mw FROM range(1, 5) t(s), range(0, 6) u(b)), bal AS (SELECT snapshot, bus, mw - avg(mw) OVER (PARTITION BY snapshot) AS mw FROM inj),
-    seg AS (SELECT bus0, sum(1 / x) AS y FROM l GROUP BY bus0) SELECT snapshot, line_id, round((SELECT sum(mw) FROM bal WHERE bal.snapshot = i.snapshot AND bal.bus <= l.bus0) * (1 / l.x) / seg.y, 6) AS mw FROM (SELECT DISTINCT snapshot FROM inj) i CROSS JOIN l JOIN seg ON seg.bus0 = l.bus0""")
-def dc_flows(t):
-    lines, buses = _island(t)
-    inj = t.spark.range(1, 5).select(F.col("id").alias("snapshot")).crossJoin(F.broadcast(buses)).select("snapshot", F.col("bus_id").alias("bus"), (F.col("bus_id") * F.col("snapshot") - 7).cast("double").alias("mw"))
-    return network.flows(network.factor_table(lines, buses), inj).withColumn("mw", r6("mw"))
-
-
-@query("""WITH l AS (SELECT * FROM stretch WHERE bus0 < 5) SELECT a.line_id, b.line_id AS outage, round(1.0::DOUBLE, 6) AS factor FROM l a JOIN l b ON a.bus0 = b.bus0 AND a.line_id <> b.line_id""")
-def outage_distribution(t):
-    lines, buses = _island(t)
-    out = network.outage_factors(network.factor_table(lines, buses), lines)
-    return out.where(F.abs("factor") > 1e-6).withColumn("factor", r6("factor"))
-
-
 def _network(t):
     """All stretches: lines, (bus_id, island), and the transfer factors of every island."""
     lines = t.stretch.withColumn("v_nom", F.lit(110.0))
@@ -196,18 +174,17 @@ def _put_in(t, island_of, mw):
 _ISLANDS = ("snapshot", "island")
 
 
-# the two queries above have SQL for the first island; these do the same on all of them
 @query("""WITH ends AS (SELECT bus0 AS bus FROM stretch UNION SELECT bus1 FROM stretch), inj AS (SELECT CAST(s AS BIGINT) AS snapshot, bus, bus // 6 AS island, (bus * s - 7)::DOUBLE AS mw FROM range(1, 5) t(s), ends), bal AS (SELECT snapshot, bus, island, mw - avg(mw) OVER (PARTITION BY snapshot, island) AS mw FROM inj),
     cum AS (SELECT snapshot, bus, sum(mw) OVER (PARTITION BY snapshot, island ORDER BY bus) AS mw FROM bal), seg AS (SELECT bus0, sum(1 / x) AS y FROM stretch GROUP BY bus0)
     SELECT snapshot, line_id, round(cum.mw * (1 / l.x) / seg.y, 6) AS mw FROM stretch l JOIN cum ON cum.bus = l.bus0 JOIN seg ON seg.bus0 = l.bus0""")
-def dc_flows_all_islands(t):
+def dc_flows(t):
     _, island_of, factors = _network(t)
     inj = _put_in(t, island_of, F.col("bus_id") * F.col("snapshot") - 7)
     return network.flows(factors, inj, _ISLANDS).withColumn("mw", r6("mw"))
 
 
 @query("""SELECT a.line_id, b.line_id AS outage, round(1.0::DOUBLE, 6) AS factor FROM stretch a JOIN stretch b ON a.bus0 = b.bus0 AND a.line_id <> b.line_id""")
-def outage_distribution_all_islands(t):
+def outage_distribution(t):
     lines, _, factors = _network(t)
     return network.outage_factors(factors, lines).where(F.abs("factor") > 1e-6).withColumn("factor", r6("factor"))
 

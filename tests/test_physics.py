@@ -109,7 +109,7 @@ def test_network_queries_reach_every_island(spark):
 
     where = "/root/testdata/sf0.01"
     stretch = Roles(spark, where).stretch.toPandas()
-    found = catalogue.queries()["dc_flows_all_islands"](spark, where).toPandas()
+    found = catalogue.queries()["dc_flows"](spark, where).toPandas()
     assert set(found["line_id"]) == set(stretch["line_id"]) and len(found) == 4 * len(stretch)
     moved = catalogue.queries()["redispatch_lp"](spark, where).toPandas()
     assert moved["bus"].max() > 5 and (moved[moved["bus"] > 5]["delta"].abs() > 0).any()
