@@ -34,7 +34,7 @@ SAMPLES = 256
 ALPHABET = string.digits + string.ascii_lowercase + string.ascii_uppercase + "+"
 PAD = "."
 #: Bands of a fingerprint and samples of a band; documents at least so alike are near.
-BANDS, WIDTH, NEAR = 24, 8, 0.8
+BANDS, WIDTH, NEAR = 40, 8, 0.8
 #: A walk that went so far into its last octave may have near ones that end in the next.
 NEAR_END = 0.7
 #: Bytes of text that a range of documents holds, about.
@@ -134,26 +134,59 @@ def likeness(a: str, b: str) -> float:
 
 
 def band_keys(fingerprint: str, bands: int = BANDS, width: int = WIDTH, seed: int = 7) -> list[int]:
-    """64-bit keys of bit-sampled bands at the fingerprint's own scale and, where its walk ends near the next power of two, at the next one.
+    """:func:`all_band_keys` of one fingerprint."""
+    return all_band_keys([fingerprint], bands, width, seed)[0].tolist()
 
-    Two fingerprints that agree in a part p of their samples share a band with
-    probability 1 - (1 - p ** width) ** bands.
+
+def all_band_keys(fingerprints: list[str], bands: int = BANDS, width: int = WIDTH, seed: int = 7) -> list[np.ndarray]:
+    """Of each fingerprint 64-bit keys of bit-sampled bands at its own scale and, where its walk ends near the next power of two, at the next one.
+
+    A band lists the samples in an order of its own, and a key takes the first ``width`` of
+    them that are not past the walk's end: what is past both ends says nothing, and a key of
+    it would join unrelated texts. Two fingerprints with likeness p share a band with
+    probability 1 - (1 - p ** width) ** bands, whether their walks end together or not.
     """
-    own = int(fingerprint[:2], 16)
-    last = _layout(own)[0][1] if own else 0
-    full = 1 - fingerprint[2 : 2 + last].count(PAD) / last if last else 0.0  # how far into its last octave the walk went
-    keys = []
-    for scale in (own, own + 1) if full >= NEAR_END else (own,):
-        samples = _at_scale(fingerprint, scale)
-        for band, at in enumerate(_bands(scale, max(1, len(samples)), bands, width, seed)):
-            name = f"{scale}:{band}:" + "".join(samples[i] for i in at if i < len(samples))
-            keys.append(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True))
-    return keys
+    at_scales = {}
+    for k, fingerprint in enumerate(fingerprints):
+        own = int(fingerprint[:2], 16)
+        last = _layout(own)[0][1] if own else 0
+        full = 1 - fingerprint[2 : 2 + last].count(PAD) / last if last else 0.0  # how far into its last octave the walk went
+        for scale in (own, own + 1) if full >= NEAR_END else (own,):
+            at_scales.setdefault(scale, []).append(k)
+    found = [[] for _ in fingerprints]
+    for scale, members in at_scales.items():
+        salts = _mixed(np.arange(bands, dtype=np.uint64) + np.uint64(scale << 32))
+        order = _bands(scale, sum(n for _, n in _layout(scale)), bands, seed)
+        for start in range(0, len(members), 256):
+            some = members[start : start + 256]
+            samples = np.frombuffer("".join(_at_scale(fingerprints[k], scale) for k in some).encode(), dtype=np.uint8).reshape(len(some), -1)[:, order]
+            live = samples != ord(PAD)
+            place = np.cumsum(live, axis=2, dtype=np.int16)
+            taken = np.zeros((len(some), bands, width), dtype=np.uint8)
+            doc, band, at = np.nonzero(live & (place <= width))
+            taken[doc, band, place[doc, band, at] - 1] = samples[doc, band, at]
+            words = np.zeros((len(some), bands, -(-width // 8) * 8), dtype=np.uint8)
+            words[:, :, :width] = taken
+            keys = np.broadcast_to(salts, (len(some), bands))
+            for word in np.moveaxis(words.view(np.uint64), 2, 0):
+                keys = _mixed(keys ^ word)
+            for k, own_keys in zip(some, keys.view(np.int64)):
+                found[k].append(own_keys)
+    return [np.concatenate(keys) for keys in found]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them (the finish of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @functools.cache
-def _bands(scale: int, samples: int, bands: int, width: int, seed: int) -> list[list[int]]:
-    return np.random.RandomState(seed + 31 * scale).randint(0, samples, (bands, width)).tolist()
+def _bands(scale: int, samples: int, bands: int, seed: int) -> np.ndarray:
+    """[band, place]: the samples in the order of each band."""
+    rng = np.random.RandomState(seed + 31 * scale)
+    return np.array([rng.permutation(samples) for _ in range(bands)], dtype=np.int64).reshape(bands, samples)
 
 
 def likenesses(a: list[str], b: list[str]) -> np.ndarray:
@@ -190,8 +223,9 @@ def near_classes(fingers: DataFrame, threshold: float = NEAR, block: int = 400,
 
     def keys(batches):
         for batch in batches:
-            found = [band_keys(f) for f in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), list(map(len, found)))), pa.array([k for f in found for k in f], pa.int64())], names=["node", "key"])
+            found = all_band_keys(batch.column(1).to_pylist())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), list(map(len, found)))), pa.array(np.concatenate(found))], names=["node", "key"])
 
     rows = stored(nodes.select("node", "fingerprint").mapInArrow(released(keys), "node long, key long").distinct())
     shared = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
@@ -339,7 +373,7 @@ def edited_neighbours(docs: DataFrame, seed: int = 7, spread: int = 2) -> DataFr
             own, new = found[: len(texts)], found[len(texts) :]
             near = [np.array(list(map(likeness, own, other)), dtype=np.float64) for other in (new, own[1:])]
             # of pairs that are not alike it does not matter whether they share a band
-            met = [[n >= NEAR and not set(band_keys(a)).isdisjoint(band_keys(b)) for n, a, b in zip(ns, own, other)] for ns, other in zip(near, (new, own[1:]))]
+            met = [[n >= NEAR and len(np.intersect1d(*all_band_keys([a, b]))) > 0 for n, a, b in zip(ns, own, other)] for ns, other in zip(near, (new, own[1:]))]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _ in part[:-1]], pa.int64()),
