@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.scalars import equirect_km
 from gridweave.operators.graph import components, connectivity_degree, pockets
 from gridweave.operators.relational import edge_endpoints, orphans, with_both_ends
+from gridweave.operators.spatial import nearest
+from gridweave.session import stored
 
 
 def _check(name: str, bad: DataFrame) -> DataFrame:
@@ -100,12 +101,19 @@ def generation_audit(units: DataFrame, capacity: DataFrame, plants: DataFrame, f
 
     GHOST: large and no real plant (name, family, mw, x, y) of its family near; AGGREGATION:
     far larger than the nearest; VOLT_MISMATCH: large at low voltage; EVAC_DEFICIT: more than
-    the bus's lines carry (capacity: bus, cap); OVERSIZED: beyond any single unit.
+    the bus's lines carry (capacity: bus, cap); OVERSIZED: beyond any single unit. Plants and
+    units without a position are near nothing; of plants equally near the least name counts.
     """
-    real = plants.select(F.col(family).alias("_f"), F.col("name").alias("plant"), F.col("mw").alias("plant_mw"), F.col("x").alias("_px"), F.col("y").alias("_py"))
-    big = units.where("p_nom >= 100")
-    best = big.join(F.broadcast(real), F.col(family) == F.col("_f")).withColumn("km", equirect_km(F.col("x"), F.col("y"), F.col("_px"), F.col("_py"))).groupBy("generator_id").agg(F.min(F.struct("km", "plant", "plant_mw")).alias("_p"))
-    all_ = units.join(best, "generator_id", "left").join(capacity.select(F.col("bus").alias("_b"), "cap"), F.col("bus") == F.col("_b"), "left")
+    real = plants.where("x is not null and y is not null").groupBy(F.col(family).alias("_f"), "x", "y").agg(F.min(F.struct(F.col("name").alias("plant"), F.col("mw").alias("plant_mw"))).alias("bus_id"))
+    # units of a family at one place have the same nearest plant
+    big = units.where("p_nom >= 100").select(F.col(family).alias("_f"), "x", "y").distinct()
+    some = big.join(real.select(F.col("_f").alias("_r")).distinct(), F.col("_f") == F.col("_r"), "left_semi")
+    places = stored(some.withColumn("_place", F.struct("_f", "x", "y")))
+    # the last of seven rings, 4096 times the first, is wider than the map
+    found = nearest(places, stored(real), "_place", first_km=25.0, rings=7, same=["_f"])
+    best = found.select(F.col("_place._f").alias("_f"), F.col("_place.x").alias("_x"), F.col("_place.y").alias("_y"), F.struct("km", "bus_id.plant", "bus_id.plant_mw").alias("_p"))
+    near = (F.col("p_nom") >= 100) & (F.col(family) == F.col("_f")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
+    all_ = units.join(best, near, "left").join(capacity.select(F.col("bus").alias("_b"), "cap"), F.col("bus") == F.col("_b"), "left")
     km, mw = F.col("_p.km"), F.col("p_nom")
     issues = F.array_compact(
         F.array(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.functions import text
+from gridweave.operators import validate
 
 
 def most_joined(df) -> int:
@@ -33,3 +34,15 @@ def test_fuzzy_top_compares_each_name_once(spark):
         rows.setdefault(r["id"], []).append((r["rank"], r["cand_id"], r["score"]))
     assert len(rows) == 3000 and sorted(rows[5]) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
     assert sorted(rows[0]) == [(1, 0, 1.0), (2, 1000, 1.0), (3, 2000, 1.0)]
+
+
+def test_generation_audit_meets_each_place_once(spark):
+    units = spark.range(2000).selectExpr("id AS generator_id", "id AS bus", "'gas' AS carrier", "if(id % 10 = 7, 'none', 'gas') AS family", "if(id % 5 = 4, 50.0D, 400.0D) AS p_nom", "380 AS v_nom", "9.0D + id % 4 AS x", "50.0D AS y")
+    plants = spark.range(1000).selectExpr("concat('P', lpad(1000 - id, 4, '0')) AS name", "'gas' AS family", "if(id = 999, 100.0D, 300.0D) AS mw", "if(id % 2 = 0, 9.0D, 30.0D) AS x", "50.0D AS y")
+    capacity = units.selectExpr("bus", "1000.0D AS cap")
+    out = validate.generation_audit(units, capacity, plants)
+    assert most_joined(out) <= 2000
+    rows = {r["generator_id"]: (r["plant"], r["km"], r["issues"]) for r in out.collect()}
+    # place 9 has a plant (the least name of 500); place 10 is 71.5 km from it; a family without plants, small units
+    assert rows[10] == ("P0002", 71.5 * 2, "GHOST") and rows[1] == ("P0002", 71.5, "GHOST") and rows[7] == (None, None, "GHOST")
+    assert set(rows) == {k for k in range(2000) if k % 5 != 4 and k % 4 != 0}
