@@ -35,9 +35,8 @@ def nearest_three_within(t):
 @query(f"""WITH p AS ({_POINT}), d AS (SELECT p.id, b.bus_id, {_KM} AS km, CASE WHEN b.v_nom = 380 AND {_KM} <= 30 THEN 1 WHEN b.v_nom = 220 AND {_KM} <= 50 THEN 2 ELSE 3 END AS tier FROM p CROSS JOIN bus b WHERE {_KM} <= 80), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, km, bus_id) AS rn FROM d)
     SELECT id, tier, bus_id, round(km, 6) AS km FROM r WHERE rn = 1""")
 def tiered_match(t):
-    near = spatial.radius_join(_points(t), t.bus, 80)
     tier = F.when((F.col("b_v_nom") == 380) & (F.col("km") <= 30), 1).when((F.col("b_v_nom") == 220) & (F.col("km") <= 50), 2).otherwise(3)
-    return spatial.tiered(near, "id", tier).withColumn("km", r6("km"))
+    return spatial.tiered_within(_points(t), t.bus, "id", 80, tier, ["v_nom"]).withColumn("km", r6("km"))
 
 
 @query(f"""WITH p AS ({_POINT}), d AS (SELECT p.id, b.bus_id, {_KM} AS km, CASE WHEN b.v_nom = 220 AND {_KM} < 15 THEN 0 ELSE 1 END AS t, CASE b.v_nom WHEN 380 THEN 1 WHEN 220 THEN 2 ELSE 3 END AS o FROM p CROSS JOIN bus b WHERE {_KM} <= 70), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t, km, o, bus_id) AS rn FROM d)

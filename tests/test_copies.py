@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import text
 from gridweave.operators import spatial, validate
+from gridweave.plans import catalogue
 
 
 def most_joined(df) -> int:
@@ -73,3 +74,13 @@ def test_nearest_preferring_meets_each_place_once(spark):
         assert most_joined(out) <= 2000
         rows = {r["id"]: (r["bus_id"], round(r["km"], 6), r["preferred"]) for r in out.collect()}
         assert rows == dict.fromkeys(range(0, 2000, 2), expected)
+
+
+def test_tiered_match_meets_each_place_once(spark, tmp_path):
+    spark.range(2000).selectExpr("id * 1000 AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 901).selectExpr("id * 1000 AS s_suppkey", "0 AS s_nationkey", "'S' AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT 0 AS n_nationkey, 'N' AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    out = catalogue.queries()["tiered_match"](spark, str(tmp_path))
+    assert most_joined(out) <= 2000
+    # all at one place: the least bus of 380 kV (an id divisible by 3)
+    assert {tuple(r) for r in out.collect()} == {(k * 1000, 1, 3000, 0.0) for k in range(2000)}
