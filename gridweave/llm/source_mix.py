@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridweave.session import stored
+
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -63,15 +65,15 @@ def mix(docs: DataFrame, seed: int = 11, weights: tuple[float, ...] = WEIGHTS, s
     ``copies`` is floor(rate) and one more with probability equal to the rate's
     fraction, drawn by a hash of doc_id and the seed: reruns and rows that repeat
     a doc_id agree. Sizes are summed per source before they move (one row per
-    source and task); the sums come back by a join that Spark broadcasts only if
-    they are small, and AQE splits a hot source otherwise. A null text has size 0;
+    source and task) and written: the size of the written table tells Spark, before
+    any text moves, whether it may be broadcast, and AQE splits a hot source otherwise. A null text has size 0;
     a null source is a source, the last one; a source of size 0 has target 0; an
     empty table gives an empty result. Columns of docs named like the new ones are replaced.
     """
     new = ("size", "source_size", "target", "copies")
     base = docs.drop(*new)
     sized = base.withColumn("size", word_count())
-    targets = source_targets(sized.select("source", "size"), weights, share, most).select(F.col("source").alias("_source"), "source_size", "target", F.col("rate").alias("_rate"))
+    targets = stored(source_targets(sized.select("source", "size"), weights, share, most).select(F.col("source").alias("_source"), "source_size", "target", F.col("rate").alias("_rate")))
     whole = F.floor("_rate")
     return (
         sized.join(targets, sized["source"].eqNullSafe(targets["_source"]), "left")
