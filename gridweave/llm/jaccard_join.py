@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import Memo, released, slices_by_bytes, words_in
-from gridweave.operators.components import connected_components
+from gridweave.operators.components import connected_components, roots
 from gridweave.session import discard, stored, stored_alone
 
 WORDS, THRESHOLD = 5, 0.8
@@ -38,6 +38,8 @@ MARGIN = 0.2
 BLOCK_SETS, BLOCK_SHINGLES = 400, 600_000
 #: More rows than this are not broadcast; a hot path's rows then go to so many places.
 BROADCAST_ROWS, SALT = 500_000, 16
+#: So many links are made into components by one task, without rounds.
+ONE_TASK = 500_000
 #: A set with more copies than this is joined to its rows apart.
 MANY = 1_000
 
@@ -125,21 +127,6 @@ def _runs_of_keys(batches, keys: list[int], limit: int | None = None):
         yield held
 
 
-def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The least member of each member's component."""
-    label = np.arange(n)
-    while len(x):
-        low = np.minimum(label[x], label[y])
-        after = label.copy()
-        np.minimum.at(after, x, low)
-        np.minimum.at(after, y, low)
-        after = after[after]
-        if np.array_equal(after, label):
-            break
-        label = after
-    return label
-
-
 def _candidates(threshold: float):
     """For buckets (path, node, size, sketch) sorted by path: (node, root) where a sketch comparison links a set to others."""
 
@@ -164,7 +151,7 @@ def _candidates(threshold: float):
                     links_x.append(x[j : j + 100_000][alike])
                     links_y.append(y[j : j + 100_000][alike])
             x, y = (np.concatenate(l) if l else np.zeros(0, dtype=np.int64) for l in (links_x, links_y))
-            label = _roots(len(path), x, y)
+            label = roots(len(path), x, y)
             linked = np.unique(np.r_[x, y])
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
@@ -312,7 +299,7 @@ def _exact(threshold: float):
                 x, y = np.nonzero(linked)
                 if not len(x):
                     continue
-                label = _roots(len(node), x, y)
+                label = roots(len(node), x, y)
                 at = np.unique(x)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]]), pa.array((linked[at] @ copies).astype(np.int64))], names=["node", "root", "links"])
 
@@ -355,10 +342,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WOR
         .groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     )
-    clusters = stored_alone(lambda: connected_components(candidate_links(nodes, threshold, recall)))
+    clusters = stored_alone(lambda: connected_components(candidate_links(nodes, threshold, recall), at_once=ONE_TASK))
     exact = stored_alone(lambda: exact_links(docs, clusters, nodes, threshold, width))
     discard(clusters)
-    classes = stored_alone(lambda: connected_components(exact.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    classes = stored_alone(lambda: connected_components(exact.select(F.col("node").alias("a"), F.col("root").alias("b")), at_once=ONE_TASK))
     named = classes.join(nodes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     near = named.join(least, "component").select("node", "class_id").join(exact.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
